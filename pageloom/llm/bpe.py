@@ -22,10 +22,10 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import as_bytes, slices
+from pageloom.llm.common import as_bytes, runs, slices
 
 #: Different pieces whose tokens a worker keeps in mind; then it starts anew.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,7 +124,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, pattern, key)
-        for ids, data in slices(batches, 4 << 20):
+        for ids, data in slices(batches, 2 << 20):
             texts = [(x or b"").decode("utf-8", "replace") for x in data]
             tokens = codec.encode(texts)
             columns = [pa.array(ids, pa.int64()), lists(tokens)]
@@ -148,10 +148,12 @@ def decode(tokens: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, "", key)
-        for b in batches:
-            flat = b.column(1)
-            data = [codec.decode(x) if x else b"" for x in flat.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + k) for k in range(len(keep))), pa.array(data, pa.binary())], [id_col, *keep, "decoded"])
+        for whole in batches:
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(whole.column(1)), 0).to_pylist()
+            for i, j in runs(sizes, 1 << 20):
+                b = whole.slice(i, j - i)
+                data = [codec.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(data, pa.binary())], [id_col, *keep, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != ids_col or f.name in keep)
     return table.mapInArrow(run, f"{schema}, decoded binary")
