@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, counts, decontam, langid, license, linedup, neardup, topk
+from pageloom.llm import bpe, counts, decontam, langid, license, linedup, neardup, substring, topk
 from pageloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -14,6 +14,29 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(documents(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), v AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)
+), f AS (
+  SELECT seq, min(doc_id) AS first FROM v GROUP BY seq
+), gone AS (
+  SELECT doc_id, list(DISTINCT x) AS gone FROM (SELECT doc_id, unnest(range(p, p + 13)) AS x FROM v JOIN f USING (seq) WHERE first < doc_id) GROUP BY doc_id
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS x FROM d) w
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(gone) AS x FROM gone) g WHERE g.doc_id = w.doc_id AND g.x = w.x) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(documents(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
 
@@ -105,6 +128,7 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
@@ -115,6 +139,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 ORACLES = {
+    "op2_substring_dedup": OP2_SQL,
     "op3_pivot_top_k": OP3_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
