@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, counts, decontam, langid, license, linedup, neardup, substring, topk
+from pageloom.llm import bpe, counts, decontam, langid, license, linedup, neardup, quality, substring, topk
 from pageloom.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -14,6 +14,11 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host; its language is the section below, as the first step of a page's path is."""
+    return quality.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(documents(spark, sf_dir))
 
@@ -127,7 +132,14 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_pivot_top_k": op3_pivot_top_k,
     "op4_language_id": op4_language_id,
@@ -137,6 +149,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
