@@ -34,25 +34,90 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges = new
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+#: Members of a list that all others of it meet first.
+CENTRES = 4
+#: All pairs are made at once if they are at most so many for each posting.
+PER_POSTING = 4
+#: A list of more members is compared in blocks.
+LONG = 32
+
+
+def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """The verified links (a, b) that connect whatever true links among documents of one posting list connect.
 
     postings: key, id (different rows). verify: pairs (a, b) to those that are links.
-    First every id meets the smallest one of each of its lists, which joins groups of
-    copies without pairs among their members. Then only pairs of one list that are not
-    yet in one component are verified, all of them.
+    compare: members of long lists (key, id, group) to the links between different
+    groups of a list, without a row for each pair.
+
+    First, every member of a list meets the list's centres, members chosen by hash: a
+    large group of copies so becomes one component with a few pairs a member. Then all
+    pairs of a list that are not in one component are verified, those of long lists
+    block by block: no link is lost.
     """
-    first = scratch.keep(postings.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"), "first")
-    stars = scratch.keep(postings.join(first, "key").where("id > a").select("a", F.col("id").alias("b")).distinct(), "stars")
-    links = scratch.keep(verify(stars), "links")
-    group = components(links, scratch)
-    labelled = scratch.keep(postings.join(first.select("key"), "key", "left_semi").join(group, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group")), "labelled")
-    groups = labelled.select("key", "group").distinct()
-    several = groups.groupBy("key").count().where("count > 1").select("key")
-    groups = scratch.keep(groups.join(several, "key", "left_semi"), "groups")
+    labelled = postings.withColumn("group", F.col("id"))
+    labelled, total = open_lists(labelled, scratch)
+    if not total["n"]:
+        return postings.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    links = tried = None
+    if total["pairs"] > PER_POSTING * total["n"]:
+        tried = scratch.keep(ordered(centre_pairs(labelled, scratch)), "pairs")
+        links = scratch.keep(verify(tried), "links")
+        groups = components(links, scratch)
+        labelled = labelled.drop("group").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"), "n")
+        labelled, total = open_lists(labelled.drop("n"), scratch)
+        if not total["n"]:
+            return links
+    compared = scratch.keep(compare(labelled.where(F.col("n") > LONG).drop("n")), "links")
+    pairs = ordered(all_pairs(labelled.where(F.col("n") <= LONG).drop("n"), scratch))
+    pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
+    found = scratch.keep(verify(pairs), "links").unionAll(compared)
+    return found if links is None else links.unionAll(found)
+
+
+def open_lists(labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict]:
+    """The members (key, id, group) of lists with several groups, with the list's size n; and the sums of pairs across groups and of members."""
+    labelled = scratch.keep(labelled, "labelled")
+    sizes = labelled.groupBy("key", "group").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("groups"))
+    keys = scratch.keep(sizes.where("groups > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "open")
+    total = keys.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+    return scratch.keep(labelled.join(keys.select("key", "n"), "key"), "members"), total
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def block_pairs(members: DataFrame, sets: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """key, docs_x, docs_y: pairs of blocks of about `size` members (key, id, group) of one list, with the columns of sets (id, ...).
+
+    Large groups have blocks of their own, which do not meet each other.
+    """
+    members = scratch.keep(members, "members")
+    sizes = scratch.keep(members.groupBy("key", "group").agg(F.count("*").alias("size")), "sizes")
+    small = scratch.keep(sizes.where(F.col("size") <= size).groupBy("key").agg(F.sum("size").alias("rest")), "small")
+    large = F.col("size") > size
+    owner = F.when(large, F.col("group"))
+    slot = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / size))).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("rest") / size)))
+    dealt = members.join(sizes, ["key", "group"]).join(small, "key", "left").select("key", "id", "group", owner.alias("owner"), F.xxhash64(owner, slot).alias("block"))
+    full = dealt.join(sets, "id").groupBy("key", "block", "owner").agg(F.collect_list(F.struct("id", "group", *(c for c in sets.columns if c != "id"))).alias("docs"))
+    blocks = scratch.keep(full, "blocks")
+    x, y = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "owner", "docs"))) for side in "xy")
+    return x.join(y, "key").where("block_x <= block_y AND (owner_x IS NULL OR owner_y IS NULL OR owner_x <> owner_y)").select("key", "docs_x", "docs_y")
+
+
+def centre_pairs(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each member (x) with the centres (y) of its lists."""
+    nearest = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
+    centres = scratch.keep(labelled.groupBy("key").agg(*[c.alias(f"c{k}") for k, c in enumerate(nearest)]), "centres")
+    own = F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))
+    met = labelled.join(centres, "key").select("id", F.explode(F.filter(own, lambda c: c != F.col("id"))).alias("c"))
+    return met.select(F.col("id").alias("x"), F.col("c").alias("y"))
+
+
+def all_pairs(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs (x, y) of members of one list in different groups."""
+    groups = scratch.keep(labelled.select("key", "group").distinct(), "groups")
     across = scratch.keep(groups.select("key", F.col("group").alias("g")).join(groups.select("key", F.col("group").alias("h")), "key").where("g < h"), "across")
     left = across.join(labelled.select("key", F.col("group").alias("g"), F.col("id").alias("x")), ["key", "g"])
-    both = left.join(labelled.select("key", F.col("group").alias("h"), F.col("id").alias("y")), ["key", "h"])
-    rest = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.keep(verify(scratch.keep(rest, "rest")), "links")
-    return links.unionAll(more)
+    return left.join(labelled.select("key", F.col("group").alias("h"), F.col("id").alias("y")), ["key", "h"]).select("x", "y")

@@ -11,6 +11,9 @@ K coordinates collide:
   has no partner at all;
 * skip: documents of one list that verified links have already joined are not paired.
 
+* merging: what is left of long lists, such as those of a passage that many documents
+  share, is compared block by block, as products of matrices of their full sets.
+
 Candidates are confirmed on their full sets. With K = 32 and T = 13, two sets of
 similarity 0.75 are missed as candidates with probability 8e-6, of 0.8 with 2e-7.
 
@@ -28,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import Scratch, as_bytes, slices
-from pageloom.llm.components import components, linked
+from pageloom.llm.components import block_pairs, components, linked
 
 WORDS = 5
 K, T = 32, 13
@@ -156,6 +160,52 @@ def confirmed(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+#: Documents of a block, of which two are compared at once.
+BLOCK = 128
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """Links (a, b) of two blocks' documents (id, group, packed), one for two groups.
+
+    All similarities of two blocks are one product of matrices.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            for k in range(b.num_rows):
+                a, c = block_links(*(b.column(side)[k].values for side in (0, 1)), hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+
+    return pairs.select("docs_x", "docs_y").mapInArrow(run, "a long, b long")
+
+
+def block_links(x: pa.StructArray, y: pa.StructArray, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of linked documents of two blocks, one pair for two groups."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    (ids, groups), (ids2, groups2) = ([d.field(c).to_numpy() for c in ("id", "group")] for d in (x, y))
+    sets, sets2 = ([shingle_set(unpack(t.as_py()), hashes) for t in d.field("packed")] for d in (x, y))
+    flat, flat2 = np.concatenate(sets), np.concatenate(sets2)
+    sizes, sizes2 = (np.array([len(s) for s in own]) for own in (sets, sets2))
+    row, row2 = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.arange(len(sets2)), sizes2)
+    common = np.intersect1d(flat, flat2)
+    both = np.zeros((len(ids), len(ids2)), np.float32)
+    for start in range(0, len(common), 4096):
+        some = common[start : start + 4096]
+        a, c = np.zeros((len(ids), len(some)), np.float32), np.zeros((len(ids2), len(some)), np.float32)
+        for table, values, rows in ((a, flat, row), (c, flat2, row2)):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            hit = some[at] == values
+            table[rows[hit], at[hit]] = 1
+        both += a @ c.T
+    link = (WHOLE * both >= PART * (sizes[:, None] + sizes2[None, :] - both)) & (groups[:, None] != groups2[None, :]) & (both > 0)
+    i, j = np.nonzero(link)
+    _, first = np.unique(np.column_stack([groups[i], groups2[j]]), axis=0, return_index=True)
+    return ids[i[first]], ids2[j[first]]
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable), kept (the id is its component's)."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -177,11 +227,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
         return confirmed(pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a"))
 
+    def compare(members: DataFrame) -> DataFrame:
+        return compared(block_pairs(members, texts, BLOCK, scratch))
+
     # documents that share an id belong together, too
     same_id = rows.join(owners, ["d1", "d2"]).select(F.col("owner").alias("a"), F.col("id").alias("b")).where("a <> b")
     repeated = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("b"))
     same_id = same_id.join(repeated, "b", "left_semi").select("a", "b")
-    groups = components(linked(postings, verify, scratch).unionAll(same_id), scratch)
+    groups = components(linked(postings, verify, compare, scratch).unionAll(same_id), scratch)
     named = scratch.keep(owners.join(groups, owners.owner == groups.id, "left").select("d1", "d2", F.coalesce("component", "owner").alias("component")), "named")
     found = all_rows.where("n > 0 AND id IS NOT NULL").join(named, ["d1", "d2"]).select("id", "n", "component")
     alone = all_rows.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
