@@ -25,7 +25,7 @@ def blocks_of(results: DataFrame) -> DataFrame:
     rows = results.select(*PAGE, F.posexplode("texts").alias("i", "text"), "scores", "polygons").withColumn("text", F.trim("text")).where("text <> ''")
     rows = rows.withColumn("source_index", F.row_number().over(Window.partitionBy(*PAGE).orderBy("i")) - 1)
     polygon = F.get("polygons", F.col("i"))
-    xs, ys = (F.transform(polygon, lambda p, k=k: F.get(p, F.lit(k))) for k in (0, 1))
+    xs, ys = F.transform(polygon, lambda p: F.get(p, F.lit(0))), F.transform(polygon, lambda p: F.get(p, F.lit(1)))
     fine = F.coalesce((F.size(polygon) > 0) & F.forall(F.concat(xs, ys), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     score, at = F.get("scores", F.col("i")), F.col("source_index").cast("double")
     return rows.select(

@@ -32,13 +32,15 @@ def losses(source: Column, target: Column) -> Column:
 
 
 def finish(jobs: DataFrame) -> DataFrame:
-    """Report rows from jobs (source_file, target_file, source_format, target_format, skipped, error, warnings).
+    """Report rows from jobs (source_file, target_file, source_format, target_format, skipped, error, warnings); other columns stay.
 
     A skipped job has no error but a warning; only a delivered one names its target.
     """
     ok = F.col("error").isNull() & ~F.col("skipped")
     warnings = F.coalesce("warnings", F.array().cast("array<string>"))
+    own = ("source_file", "target_file", "source_format", "target_format", "skipped", "error", "warnings")
     return jobs.select(
+        *[c for c in jobs.columns if c not in own],
         "source_file", F.when(ok, F.col("target_file")).otherwise("").alias("target_file"), "source_format", "target_format", ok.alias("success"), "skipped",
         F.when(F.col("skipped"), F.concat(warnings, F.array(F.lit(SAME_FORMAT)))).otherwise(warnings).alias("warnings"),
         F.when(ok, losses(F.col("source_format"), F.col("target_format"))).otherwise(F.array().cast("array<string>")).alias("possible_losses"),

@@ -439,7 +439,7 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
 def _reports(spark: SparkSession, d: str) -> DataFrame:
     own = admission.admit(A.jobs(spark, d), F.col("target_format"))
     own = own.select("batch", F.col("file_name").alias("source_file"), F.concat(F.lit("out-"), "file_name").alias("target_file"), "source_format", "target_format", "skipped", F.when(~F.col("skipped"), F.col("error")).alias("error"), F.array().cast("array<string>").alias("warnings"))
-    return report.finish(own).join(own.select("source_file", "batch"), "source_file")
+    return report.finish(own)
 
 
 _LOSS = "CASE WHEN error IS NULL THEN (target_format = 'txt')::INTEGER + (source_format = 'docx')::INTEGER + (source_format = 'docx' AND target_format = 'markdown')::INTEGER + (source_format = 'markdown' AND target_format = 'docx')::INTEGER + 4 * (source_format = 'pdf')::INTEGER ELSE 0 END"

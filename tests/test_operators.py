@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 from pageloom.functions.unicode import decode_bytes
 from pageloom.operators import admission, ast, cleanup, layout, ocr, pages, report, scoring, structure
-from pageloom.sources import files, writers
+from pageloom.plans.convert import convert
+from pageloom.sources import files, manifest, writers
 from pageloom.streaming import dropfolder
 
 
@@ -217,3 +218,37 @@ def test_publish_never_overwrites(spark, tmp_path):
 def test_plug_in():
     with pytest.raises(RuntimeError, match="optional library"):
         files.plug_in("no_such_library", "PDF reading")
+
+
+@pytest.mark.parametrize("target", ["txt", "markdown", "docx"])
+def test_conversion(spark, target):
+    md = "# Title\n\ntext of it\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"
+    docx = spark.createDataFrame([(md.encode(), "markdown")], "c binary, k string").select(files.parse("c", "k").alias("p")).select(writers.docx("p.blocks")).first()[0]
+    rows = [(1, "a.txt", "第一章 总则\n\n正文在此。\n".encode()), (2, "b.md", md.encode()), (3, "c.docx", bytes(docx)), (4, "d.docx", b"no archive"), (5, "e.txt", b""), (6, "../f.txt", b"x"), (7, "g.pdf", b"%PDF-"), (8, "h.xyz", b"x")]
+    df = spark.createDataFrame(rows, "doc_id long, file_name string, content binary").withColumn("length", F.length("content").cast("long"))
+    out = {r.doc_id: r for r in convert(df, target).collect()}
+    same = {"txt": 1, "markdown": 2, "docx": 3}[target]
+    assert out[same].skipped and out[same].error is None and out[same].output is None
+    for k in {1, 2, 3} - {same}:
+        assert out[k].success and out[k].output and out[k].target_file and out[k].stats.headings == 1, out[k]
+    assert all(out[k].error and not out[k].success and out[k].target_file == "" for k in {4, 5, 6, 7, 8} - ({4} if target == "docx" else set()))
+
+
+def test_manifest(spark, tmp_path):
+    import json
+
+    good = {"id": "a-1", "filename": "a.pdf", "source_url": "https://x.org/" + "0" * 40, "source_page_url": "https://x.org", "source_repository": "r", "source_revision": "0" * 40, "source_license": "MIT", "redistribution": "no", "sha256": "a" * 64, "file_size": 3, "language": "zh", "categories": ["x"], "expected_page_count": 1, "acceptance": {}, "manual_review": {}}
+    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 1, "samples": [good, {**good, "filename": "b.pdf"}, {**good, "id": "b", "filename": "../c.pdf"}]}))
+    samples, errors = manifest.manifest(spark, str(tmp_path / "m.json"))
+    assert {(r.ord, r.error[:7]) for r in errors.collect()} == {(2, "PDF 样例 "), (3, "PDF 样例 ")}
+    chosen, missing = manifest.select_samples(samples, ["b", "nope", "b"])
+    assert [r.id for r in chosen.collect()] == ["b"] and missing == ["nope"]
+
+
+def test_raw_results(spark):
+    rows = [(1, 1, [" b ", "", "a", "c"], [0.9, 0.1, float("nan")], [[[5.0, 20.0], [9.0, 30.0]], [], [[1.0, 2.0], [3.0, 4.0]]])]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, texts array<string>, scores array<double>, polygons array<array<array<double>>>")
+    out = {r.text: r for r in ocr.blocks_of(df).collect()}
+    assert (out["b"].source_index, out["b"].top, out["b"].left, out["b"].bottom, out["b"].right, out["b"].score) == (0, 20.0, 5.0, 30.0, 9.0, 0.9)
+    assert out["a"].source_index == 1 and out["a"].score is None and not out["c"].has_geometry and (out["c"].top, out["c"].bottom) == (2.0, 3.0)
+    assert ocr.horizontal_text(ocr.blocks_of(df)).first().text == "a\nc\nb"
