@@ -2,15 +2,17 @@ r"""Fuzzy line deduplication by MinHash, with DataFrame and SQL functions only.
 
 Lines are compared trimmed and in lower case; a line of fewer than 20 characters then
 is never a copy, as short lines are alike by chance. Equal lines are one class. The
-signature of a class are the smallest hashes of its character shingles, of which the
-sketch takes those at word starts; its bands are pairs of neighbours among them. Lines
-that share a band are candidates, confirmed by the exact Jaccard similarity of their
-different character shingles at all places. Components of confirmed links keep their
-first line, by document id and line number.
-
-Two lines whose sketches have similarity 0.9 share one of up to 7 bands with
-probability 0.9995, of 0.8 with 0.99. Of large groups of copies, all links between
-lines that share a band are followed; none is capped.
+signature of a class are the 8 smallest hashes of its character shingles, of which the
+sketch takes the 20 characters from each word's start. Lines with 4 hashes in common
+are candidates: each line is posted under its rarest hashes alone, so many that two
+such lines meet, and those that it shares with many lines are seldom among them.
+Candidates are confirmed by the exact Jaccard similarity of their different runs of 5
+characters at all places. Components of confirmed links keep their first line, by
+document id and line number.
+
+Two lines of similarity 0.8 are candidates with probability of about
+0.96, of 0.9 with 0.999. Of large groups of copies, all links between lines of one list
+are followed; none is capped.
 
 A document's lines end at "\n"; null texts have none. Rows with a null id keep all
 their lines. Rows that share an id are one document: of equal lines in them, the one
@@ -24,14 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import Scratch
-from pageloom.llm.components import components, linked
+from pageloom.llm.components import block_pairs, components, linked
 
 LEAST_CHARS = 20
 SHINGLE = 5
 #: Characters of a shingle of the sketch.
-ANCHORED = 8
-SMALLEST = 8
+ANCHORED = 20
+#: Hashes of a sketch, and how many of them two lines must share; of a smaller sketch the same part.
+K, T = 8, 4
 SIMILAR = 0.8
+#: Lines of a block, of which two are compared at once.
+BLOCK = 64
 
 
 def compared(line: Column) -> Column:
@@ -48,18 +53,43 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sketch(line: Column) -> Column:
     """The smallest hashes of the character shingles at word starts."""
     shingles = F.regexp_extract_all(line, F.lit(rf"(?: |^)(?=([^ ].{{0,{ANCHORED - 1}}}))"), F.lit(1))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))), 1, SMALLEST)
+    return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))), 1, K)
 
 
-def bands(smallest: Column) -> Column:
-    """Hashes of neighbouring pairs of the sketch; of a single one alone."""
-    pairs = F.transform(F.slice(smallest, 1, F.greatest(F.size(smallest) - 1, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(smallest, i + 1)))
-    return F.when(F.size(smallest) > 0, pairs).otherwise(F.array().cast("array<bigint>"))
+def posted(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id: each line under so many of its sketch's rarest hashes that two lines with T in common meet."""
+    values = classes.select(F.col("lid").alias("id"), F.size("smallest").alias("k"), F.explode("smallest").alias("key"))
+    shared = scratch.keep(values.groupBy("key").count().where("count > 1"), "shared")
+    least = F.ceil(F.col("k") * T / K).cast("int")
+    own = values.join(shared, "key").groupBy("id", "k").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys")).where(F.size("keys") >= least)
+    return own.select("id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - least + 1)).alias("x")).select(F.col("x.key").alias("key"), "id")
 
 
 def shingles_of(line: Column) -> Column:
-    """The different runs of SHINGLE characters; a line has at least that many."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    """Hashes of the different runs of SHINGLE characters; a line has at least that many."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
+
+
+def near(x: Column, y: Column) -> Column:
+    """Whether two sets are similar enough."""
+    most = F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y)) - 1e-9
+    return most & (F.size(F.array_intersect(x, y)) * (1 + SIMILAR) >= SIMILAR * (F.size(x) + F.size(y)) - 1e-9)
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Whether two lines are near copies. The sets are bound to a lambda's variable, so that each is made once."""
+    sets = F.array(F.struct(shingles_of(a).alias("x"), shingles_of(b).alias("y")))
+    return F.exists(sets, lambda s: near(s["x"], s["y"]))
+
+
+def block_links(pairs: DataFrame) -> DataFrame:
+    """Links (a, b) of two blocks' lines (id, group, set, bands) in different groups, each pair at its smallest band alone."""
+
+    def here(p: Column, q: Column) -> Column:
+        return (p["group"] != q["group"]) & (F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("key")) & near(p["set"], q["set"])
+
+    links = F.transform("docs_x", lambda p: F.transform(F.filter("docs_y", lambda q: here(p, q)), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"))))
+    return pairs.select(F.explode(F.flatten(links)).alias("l")).select("l.a", "l.b")
 
 
 def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -68,20 +98,22 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
     owner = F.min(F.struct("id", "line_no")).alias("owner")
     sketched = found.select("lid", "id", "line_no", sketch(F.col("line")).alias("smallest"))
     classes = scratch.keep(sketched.groupBy("lid").agg(owner, F.count("*").alias("n"), F.min("smallest").alias("smallest")), "classes")
-    postings = classes.select(F.col("lid").alias("id"), F.explode(F.array_distinct(bands(F.col("smallest")))).alias("key"))
-    shared = scratch.keep(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    postings = scratch.keep(postings.join(shared, "key"), "postings")
+    postings = scratch.keep(posted(classes, scratch), "postings")
     texts = scratch.keep(class_texts(docs, classes.join(postings.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi"), id_col, text_col), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}")), side)
-        sets = pairs.select("a", "b", shingles_of(F.col("line_a")).alias("x"), shingles_of(F.col("line_b")).alias("y"))
-        sets = sets.where(F.least(F.size("x"), F.size("y")) >= SIMILAR * F.greatest(F.size("x"), F.size("y")))
-        sets = sets.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-        return sets.where(F.col("both") >= SIMILAR * (F.col("n") - F.col("both"))).select("a", "b")
+            pairs = pairs.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("n").alias(f"n_{side}")), side)
+        return pairs.where(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b") - 1e-9).where(similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
+
+    def compare(members: DataFrame) -> DataFrame:
+        wanted = members.select(F.col("id").alias("lid")).distinct()
+        own = postings.groupBy("id").agg(F.collect_list("key").alias("bands"))
+        sets = texts.join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), shingles_of(F.col("line")).alias("set"))
+        sets = scratch.keep(sets.join(own, "id"), "sets")
+        return block_links(block_pairs(members, sets, BLOCK, scratch))
 
-    groups = components(linked(postings, verify, scratch), scratch)
+    groups = components(linked(postings, verify, compare, scratch), scratch)
     groups = groups.select(F.col("id").alias("lid"), "component")
     named = scratch.keep(classes.join(groups, "lid", "left").where("n > 1 OR component IS NOT NULL").select("lid", "owner", F.coalesce("component", "lid").alias("component")), "named")
     firsts = scratch.keep(named.groupBy("component").agg(F.min("owner").alias("first")), "firsts")
@@ -89,11 +121,12 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lid, line: the compared text of each class, from its first line's document."""
+    """lid, line, n (size of its set): the compared text of each class, from its first line's document."""
     wanted = classes.select(F.col("owner.id").alias("id"), F.col("owner.line_no").alias("line_no"), "lid").groupBy("id").agg(F.collect_list(F.struct("line_no", "lid")).alias("wanted"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
     rows = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.lid").alias("lid"), compared(F.get("lines", F.col("w.line_no"))).alias("line"))
-    return rows.where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"])
+    rows = rows.where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"])
+    return rows.select("lid", "line", F.size(shingles_of(F.col("line"))).alias("n"))
 
 
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
