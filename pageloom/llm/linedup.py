@@ -70,6 +70,11 @@ def shingles_of(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
 
 
+def collide(x: Column, y: Column) -> Column:
+    """Whether two sketches have enough hashes in common."""
+    return F.size(F.array_intersect(x, y)) * K >= T * F.least(F.size(x), F.size(y))
+
+
 def near(x: Column, y: Column) -> Column:
     """Whether two sets are similar enough."""
     most = F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y)) - 1e-9
@@ -86,7 +91,7 @@ def block_links(pairs: DataFrame) -> DataFrame:
     """Links (a, b) of two blocks' lines (id, group, set, bands) in different groups, each pair at its smallest band alone."""
 
     def here(p: Column, q: Column) -> Column:
-        return (p["group"] != q["group"]) & (F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("key")) & near(p["set"], q["set"])
+        return (p["group"] != q["group"]) & (F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("key")) & collide(p["smallest"], q["smallest"]) & near(p["set"], q["set"])
 
     links = F.transform("docs_x", lambda p: F.transform(F.filter("docs_y", lambda q: here(p, q)), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"))))
     return pairs.select(F.explode(F.flatten(links)).alias("l")).select("l.a", "l.b")
@@ -99,17 +104,21 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
     sketched = found.select("lid", "id", "line_no", sketch(F.col("line")).alias("smallest"))
     classes = scratch.keep(sketched.groupBy("lid").agg(owner, F.count("*").alias("n"), F.min("smallest").alias("smallest")), "classes")
     postings = scratch.keep(posted(classes, scratch), "postings")
-    texts = scratch.keep(class_texts(docs, classes.join(postings.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi"), id_col, text_col), "texts")
+    known = scratch.keep(classes.join(postings.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi"), "known")
+    texts = scratch.keep(class_texts(docs, known, id_col, text_col), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("n").alias(f"n_{side}")), side)
-        return pairs.where(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b") - 1e-9).where(similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
+            pairs = pairs.join(known.select(F.col("lid").alias(side), F.col("smallest").alias(f"sketch_{side}")), side)
+        pairs = pairs.where(collide(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
+        for side in ("a", "b"):
+            pairs = pairs.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}")), side)
+        return pairs.where(similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
 
     def compare(members: DataFrame) -> DataFrame:
         wanted = members.select(F.col("id").alias("lid")).distinct()
         own = postings.groupBy("id").agg(F.collect_list("key").alias("bands"))
-        sets = texts.join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), shingles_of(F.col("line")).alias("set"))
+        sets = texts.join(wanted, "lid", "left_semi").join(known.select("lid", "smallest"), "lid").select(F.col("lid").alias("id"), "smallest", shingles_of(F.col("line")).alias("set"))
         sets = scratch.keep(sets.join(own, "id"), "sets")
         return block_links(block_pairs(members, sets, BLOCK, scratch))
 
@@ -121,12 +130,11 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lid, line, n (size of its set): the compared text of each class, from its first line's document."""
+    """lid, line: the compared text of each class, from its first line's document."""
     wanted = classes.select(F.col("owner.id").alias("id"), F.col("owner.line_no").alias("line_no"), "lid").groupBy("id").agg(F.collect_list(F.struct("line_no", "lid")).alias("wanted"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
     rows = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.lid").alias("lid"), compared(F.get("lines", F.col("w.line_no"))).alias("line"))
-    rows = rows.where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"])
-    return rows.select("lid", "line", F.size(shingles_of(F.col("line"))).alias("n"))
+    return rows.where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"])
 
 
 def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
