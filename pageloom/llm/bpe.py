@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import as_bytes, runs, slices
+from pageloom.llm.common import as_bytes, release, runs, slices
 
 #: Different pieces whose tokens a worker keeps in mind; then it starts anew.
 MEMO = 200_000
@@ -56,7 +55,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class Codec:
-    """Encoder and decoder of one rank file, made once for a Python worker."""
+    """Encoder and decoder of one rank file, made once for a task: an idle worker keeps nothing of it."""
 
     made: dict[tuple, Codec] = {}
 
@@ -65,7 +64,7 @@ class Codec:
 
         self.pattern, self.ranks, self.memo = regex.compile(pattern), ranks, {}
         self.bytes_of: dict[int, bytes] = {i: t for t, i in ranks.items()}
-        self.letters, self._model = byte_letters(), None
+        self.letters, self._model = dict(enumerate(byte_letters())), None
 
     @classmethod
     def of(cls, ranks: dict[bytes, int], pattern: str, key: str) -> Codec:
@@ -77,15 +76,24 @@ class Codec:
     def model(self):
         if self._model is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-            from tokenizers import Tokenizer, models
+            from tokenizers import Tokenizer, models, pre_tokenizers
 
             vocab = {self.spell(t): i for t, i in self.ranks.items()}
             merges = [(self.spell(a), self.spell(b)) for a, b in merges_of(self.ranks)]
             self._model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+            self._model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")  # no byte is spelled as a line end
         return self._model
 
     def spell(self, data: bytes) -> str:
-        return "".join(map(self.letters.__getitem__, data))
+        return data.decode("latin-1").translate(self.letters)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces, many as one text of a line each, and remember their tokens as bytes."""
+        texts = ["\n".join([self.spell(p.encode()) for p in pieces[k : k + 256]]) for k in range(0, len(pieces), 256)]
+        for k, e in enumerate(self.model.encode_batch(texts, add_special_tokens=False)):
+            ids, ends = np.array(e.ids, np.int32).tobytes(), (4 * np.flatnonzero(np.diff(np.array(e.word_ids))) + 4).tolist()
+            for piece, a, b in zip(pieces[256 * k :], [0, *ends], [*ends, len(ids)], strict=False):
+                self.memo[piece] = ids[a:b]
 
     def pieces(self, text: str) -> list[str]:
         return [m.group() for m in self.pattern.finditer(text)] if self.pattern.groups else self.pattern.findall(text)
@@ -95,10 +103,9 @@ class Codec:
         new = list(set().union(*split).difference(self.memo)) if split else []
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(set().union(*split))
-        for piece, e in zip(new, self.model.encode_batch([self.spell(p.encode()) for p in new], add_special_tokens=False), strict=True):
-            self.memo[piece] = tuple(e.ids)
+        self.learn(new)
         get = self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, p)), np.int32) for p in split]
+        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in split]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -124,6 +131,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, pattern, key)
+        # the worker lives on for other work: what it has learned goes with the task
         for ids, data in slices(batches, 2 << 20):
             texts = [(x or b"").decode("utf-8", "replace") for x in data]
             tokens = codec.encode(texts)
@@ -132,6 +140,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
                 spans = [codec.spans(t, x) for t, x in zip(texts, tokens, strict=True)]
                 columns += [lists([s[k] for s in spans]) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "char_starts", "char_ends"][: len(columns)])
+        Codec.made.clear()
 
     more = ", char_starts array<int>, char_ends array<int>" if offsets else ""
     out = as_bytes(docs, id_col, text_col).mapInArrow(run, f"id long, ids array<int>{more}")
@@ -154,6 +163,8 @@ def decode(tokens: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_co
                 b = whole.slice(i, j - i)
                 data = [codec.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(data, pa.binary())], [id_col, *keep, "decoded"])
+        Codec.made.clear()
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != ids_col or f.name in keep)
     return table.mapInArrow(run, f"{schema}, decoded binary")

@@ -70,3 +70,9 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[t
         lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
         for i, j in runs(lengths, most):
             yield ids[i:j], texts.slice(i, j - i).to_pylist()
+    release()
+
+
+def release() -> None:
+    """Give the memory of a task's batches back: a worker lives on, idle or for other work."""
+    pa.default_memory_pool().release_unused()

@@ -25,12 +25,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import as_bytes, runs
+from pageloom.llm.common import as_bytes, release, runs
 
 #: Words of a phrase; a shorter item is one phrase.
 WINDOW = 8
 #: Bytes of text that make a shard; a longer document is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: A benchmark goes to the tasks in blocks of so many bytes of text, one pass over the documents each.
 BLOCK_BYTES = 64 << 20
 #: Every so many positions of a suffix are kept.
@@ -252,6 +252,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
                         items = [sorted({*x, *old}) for x, old in zip(items, before[1], strict=True)]
                     added = [pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], SPANS), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *added], [*names, *ADDED])
+            release()
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
         docs = docs.mapInArrow(run, f"{kinds}{', ' if kinds else ''}__n_words long, __spans array<struct<start:int,end:int>>, __items array<string>")
@@ -305,6 +306,7 @@ def excise(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", con
                 texts = [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)]
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     return found.drop("__n_words", "__items").mapInArrow(run, docs.schema)
 

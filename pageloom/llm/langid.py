@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import as_bytes, slices
+from pageloom.llm.common import as_bytes, release, slices
 
 #: Labelled rows of each language from which the centroids are learned, about.
 SAMPLE_ROWS = 400
@@ -30,6 +30,8 @@ LANGUAGES = 500
 CENTROIDS = 4
 BUCKETS = 1 << 13
 ROUNDS = 12
+#: Texts whose vectors a task holds at once.
+BATCH = 64
 #: A text is rejected under this cosine, or under half of what all training texts of a language reach, if that is less.
 LEAST, SLACK = 0.05, 0.5
 UNKNOWN = "und"
@@ -125,9 +127,9 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data in slices(batches, 1 << 20):
-            for k in range(0, len(ids), 256):
-                found = shared.value.predict([(x or b"").decode("utf-8", "replace") for x in data[k : k + 256]])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256], pa.int64()), *(pa.array(x) for x in found)], ["id", "lang_pred", "score", "rejected"])
+            for k in range(0, len(ids), BATCH):
+                found = shared.value.predict([(x or b"").decode("utf-8", "replace") for x in data[k : k + BATCH]])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + BATCH], pa.int64()), *(pa.array(x) for x in found)], ["id", "lang_pred", "score", "rejected"])
 
     out = as_bytes(docs, id_col, text_col).mapInArrow(run, "id long, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("id", id_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "rejected")
@@ -140,9 +142,10 @@ def accept(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, BATCH):
+                b = whole.slice(k, BATCH)
                 texts = [(x or b"").decode("utf-8", "replace") for x in b.column(at).cast(pa.binary()).to_pylist()]
                 yield b.filter(pa.array([not x for x in shared.value.predict(texts)[2]], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
