@@ -1,18 +1,17 @@
 r"""Fuzzy line deduplication by MinHash, with DataFrame and SQL functions only.
 
 Lines are compared trimmed and in lower case; a line of fewer than 20 characters then
-is never a copy, as short lines are alike by chance. Equal lines are one class. The
-signature of a class are the 8 smallest hashes of its character shingles, of which the
-sketch takes the 20 characters from each word's start. Lines with 4 hashes in common
-are candidates: each line is posted under its rarest hashes alone, so many that two
-such lines meet, and those that it shares with many lines are seldom among them.
-Candidates are confirmed by the exact Jaccard similarity of their different runs of 5
-characters at all places. Components of confirmed links keep their first line, by
-document id and line number.
-
-Two lines of similarity 0.8 are candidates with probability of about
-0.96, of 0.9 with 0.999. Of large groups of copies, all links between lines of one list
-are followed; none is capped.
+is never a copy, as short lines are alike by chance. Equal lines are one class. A class
+is the set of hashes of its runs of 5 characters at all places, in order on a circle.
+Its sketch has a key for each of 16 arcs: the hash of the 6 members that follow the
+arc's start. Two lines of similarity J have one such key in common with probability J^6
+about, wherever they differ and with or without spaces. Small sets take fewer members,
+a quarter of the set. Lines that share a key are candidates, and every one of them is
+confirmed by the exact Jaccard similarity of the sets. Components of confirmed links
+keep their first line, by document id and line number.
+
+Two lines of similarity 0.8 are candidates with probability of about 0.99. Of large
+groups of copies, all links between lines of one list are followed; none is capped.
 
 A document's lines end at "\n"; null texts have none. Rows with a null id keep all
 their lines. Rows that share an id are one document: of equal lines in them, the one
@@ -30,10 +29,8 @@ from pageloom.llm.components import block_pairs, components, linked
 
 LEAST_CHARS = 20
 SHINGLE = 5
-#: Characters of a shingle of the sketch.
-ANCHORED = 20
-#: Hashes of a sketch, and how many of them two lines must share; of a smaller sketch the same part.
-K, T = 8, 4
+#: Arcs of the circle of hashes (as bits), and members of a key; a set has at least PART times as many.
+ARC_BITS, ROWS, PART = 4, 6, 4
 SIMILAR = 0.8
 #: Lines of a block, of which two are compared at once.
 BLOCK = 64
@@ -50,19 +47,35 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "line_no", "line", F.xxhash64("line").alias("lid"))
 
 
+def rows_of(n: Column) -> Column:
+    """Members of a key of a set of n."""
+    return F.greatest(F.lit(1), F.least(F.lit(ROWS), F.floor(n / PART))).cast("int")
+
+
 def sketch(line: Column) -> Column:
-    """The smallest hashes of the character shingles at word starts."""
-    shingles = F.regexp_extract_all(line, F.lit(rf"(?: |^)(?=([^ ].{{0,{ANCHORED - 1}}}))"), F.lit(1))
-    return F.slice(F.sort_array(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))), 1, K)
+    """The keys of a line: for the first hash of each arc, that of it and those that follow on the circle.
+
+    A set that may be compared with sets of other key lengths has keys of all of these.
+    """
+
+    def keys(s: Column, ring: Column, rows: Column) -> Column:
+        first = lambda x, i: (i == 0) | (F.shiftright(x, 64 - ARC_BITS) != F.shiftright(F.get(s, i - 1), 64 - ARC_BITS))
+        return F.array_compact(F.transform(s, lambda x, i: F.when(first(x, i), F.xxhash64(F.slice(ring, i + 1, rows)))))
+
+    def all_keys(s: Column, ring: Column) -> Column:
+        lengths = F.sequence(rows_of(F.floor(F.size(s) * SIMILAR)), rows_of(F.ceil(F.size(s) / SIMILAR)))
+        lengths = F.filter(lengths, lambda rows: rows <= F.size(s))
+        return F.array_distinct(F.flatten(F.transform(lengths, lambda rows: keys(s, ring, rows))))
+
+    rings = lambda s: F.transform(F.array(F.concat(s, F.slice(s, 1, ROWS - 1))), lambda ring: all_keys(s, ring))
+    return F.get(F.flatten(F.transform(F.array(F.sort_array(shingles_of(line))), rings)), F.lit(0))
 
 
 def posted(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, id: each line under so many of its sketch's rarest hashes that two lines with T in common meet."""
-    values = classes.select(F.col("lid").alias("id"), F.size("smallest").alias("k"), F.explode("smallest").alias("key"))
-    shared = scratch.keep(values.groupBy("key").count().where("count > 1"), "shared")
-    least = F.ceil(F.col("k") * T / K).cast("int")
-    own = values.join(shared, "key").groupBy("id", "k").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys")).where(F.size("keys") >= least)
-    return own.select("id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - least + 1)).alias("x")).select(F.col("x.key").alias("key"), "id")
+    """key, id: each line under those of its keys that other lines have."""
+    values = classes.select(F.col("lid").alias("id"), F.explode("keys").alias("key"))
+    shared = scratch.keep(values.groupBy("key").count().where("count > 1").select("key"), "shared")
+    return values.join(shared, "key").select("key", "id")
 
 
 def shingles_of(line: Column) -> Column:
@@ -70,11 +83,6 @@ def shingles_of(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
 
 
-def collide(x: Column, y: Column) -> Column:
-    """Whether two sketches have enough hashes in common."""
-    return F.size(F.array_intersect(x, y)) * K >= T * F.least(F.size(x), F.size(y))
-
-
 def near(x: Column, y: Column) -> Column:
     """Whether two sets are similar enough."""
     most = F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y)) - 1e-9
@@ -91,7 +99,7 @@ def block_links(pairs: DataFrame) -> DataFrame:
     """Links (a, b) of two blocks' lines (id, group, set, bands) in different groups, each pair at its smallest band alone."""
 
     def here(p: Column, q: Column) -> Column:
-        return (p["group"] != q["group"]) & (F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("key")) & collide(p["smallest"], q["smallest"]) & near(p["set"], q["set"])
+        return (p["group"] != q["group"]) & (F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("key")) & near(p["set"], q["set"])
 
     links = F.transform("docs_x", lambda p: F.transform(F.filter("docs_y", lambda q: here(p, q)), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"))))
     return pairs.select(F.explode(F.flatten(links)).alias("l")).select("l.a", "l.b")
@@ -101,16 +109,13 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
     """lid, first_id, first_line of every class that has copies or near copies."""
     found = lines_of(docs, id_col, text_col)
     owner = F.min(F.struct("id", "line_no")).alias("owner")
-    sketched = found.select("lid", "id", "line_no", sketch(F.col("line")).alias("smallest"))
-    classes = scratch.keep(sketched.groupBy("lid").agg(owner, F.count("*").alias("n"), F.min("smallest").alias("smallest")), "classes")
+    sketched = found.select("lid", "id", "line_no", sketch(F.col("line")).alias("keys"))
+    classes = scratch.keep(sketched.groupBy("lid").agg(owner, F.count("*").alias("n"), F.min("keys").alias("keys")), "classes")
     postings = scratch.keep(posted(classes, scratch), "postings")
-    known = scratch.keep(classes.join(postings.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi"), "known")
+    known = scratch.keep(classes.drop("keys").join(postings.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi"), "known")
     texts = scratch.keep(class_texts(docs, known, id_col, text_col), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(known.select(F.col("lid").alias(side), F.col("smallest").alias(f"sketch_{side}")), side)
-        pairs = pairs.where(collide(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
         for side in ("a", "b"):
             pairs = pairs.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}")), side)
         return pairs.where(similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
@@ -118,7 +123,7 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
     def compare(members: DataFrame) -> DataFrame:
         wanted = members.select(F.col("id").alias("lid")).distinct()
         own = postings.groupBy("id").agg(F.collect_list("key").alias("bands"))
-        sets = texts.join(wanted, "lid", "left_semi").join(known.select("lid", "smallest"), "lid").select(F.col("lid").alias("id"), "smallest", shingles_of(F.col("line")).alias("set"))
+        sets = texts.join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), shingles_of(F.col("line")).alias("set"))
         sets = scratch.keep(sets.join(own, "id"), "sets")
         return block_links(block_pairs(members, sets, BLOCK, scratch))
 

@@ -155,3 +155,23 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, DATA)
     assert set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 0 < out.count() <= 200
+
+
+def near_pairs(spark, pairs):
+    """How many pairs of lines have a 5-gram similarity of 0.8, and how many of these are apart in the result."""
+    grams = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    docs = [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)]
+    out = {r.doc_id: r.first_doc for r in linedup.line_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    near = [n for n, (a, b) in enumerate(pairs) if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b))]
+    return len(near), sum(out[2 * n] != out[2 * n + 1] for n in near)
+
+
+def test_near_lines_without_spaces(spark):
+    rng = random.Random(11)
+    pairs = []
+    for n in range(200):
+        t = [chr(0x4E00 + rng.randrange(3000)) if n % 2 else rng.choice("abcdefghij0123/=&\t") for _ in range(80)]
+        t[0], t[-1], k = "x", "x", rng.randrange(1, 20)
+        pairs.append(("".join(t), "".join([*t[:k], "q", *t[k + 1 :]])))
+    near, lost = near_pairs(spark, pairs)
+    assert near == 200 and lost <= 2
