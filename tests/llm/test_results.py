@@ -175,3 +175,23 @@ def test_near_lines_without_spaces(spark):
         pairs.append(("".join(t), "".join([*t[:k], "q", *t[k + 1 :]])))
     near, lost = near_pairs(spark, pairs)
     assert near == 200 and lost <= 2
+
+
+def test_near_lines_with_changed_characters(spark):
+    rng = random.Random(12)
+    pairs = []
+    for n in range(1200):
+        size = rng.randrange(*[(20, 40), (40, 60), (60, 200)][n % 3])
+        t = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 8))) for _ in range(size))[:size]
+        t = list("x" + t[1:-1] + "x")
+        u = list(t)
+        for _ in range(max(1, size // 50)):
+            u[rng.choice([1, size - 2, rng.randrange(1, size - 1)])] = "z"
+        pairs.append(("".join(t), "".join(u)))
+    near, lost = near_pairs(spark, pairs)
+    assert near > 700 and lost <= 0.01 * near
+
+
+def test_lines_of_few_shingles(spark):
+    pairs = [("ab" * 15 + c * 30, "ab" * 15 + c * 30 + c) for c in "klmnop"] + [(c * 24, c * 30) for c in "rst"]
+    assert near_pairs(spark, pairs) == (9, 0)
