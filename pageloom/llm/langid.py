@@ -3,8 +3,9 @@
 A text is the unit vector of its TF-IDF weights over hashed byte n-grams of its lower-
 cased letters. Each language has several centroids, clustered by cosine from a bounded
 sample of labelled rows. The prediction is the language of the nearest centroid; a text
-that is further from every centroid than the training texts of that language tell is
-rejected.
+that is further from its centroid than training texts of its language tell is rejected.
+As short texts are far from all centroids, that is told from the starts of the training
+texts, cut to the next of a few lengths below the text's own.
 
 Null texts and texts without a letter get the language `und` with score 0, and are
 rejected. Without any labelled row all texts are `und`. Equal cosines go to the
@@ -32,8 +33,10 @@ BUCKETS = 1 << 13
 ROUNDS = 12
 #: Texts whose vectors a task holds at once.
 BATCH = 64
-#: A text is rejected under this cosine, or under half of what all training texts of a language reach, if that is less.
-LEAST, SLACK = 0.05, 0.5
+#: A text is rejected under this cosine, and under half of what all but LOW of a language's training texts reach.
+LEAST, SLACK, LOW = 0.05, 0.5, 0.01
+#: Characters of the starts from which it is learned; shorter texts have LEAST alone.
+STARTS = (16, 64, 256)
 UNKNOWN = "und"
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -67,7 +70,7 @@ def clusters(rows: np.ndarray, k: int) -> np.ndarray:
 
 
 class Model:
-    """Bucket weights, centroids and the least cosine of each language."""
+    """Bucket weights, centroids and the least cosines of each language, by length."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.languages = sorted({lang for lang, _ in rows})
@@ -81,9 +84,13 @@ class Model:
             c = clusters(own, CENTROIDS)
             centroids.append(c)
             owner += [n] * len(c)
-            least.append(min(LEAST, SLACK * float((own @ c.T).max(axis=1).min())))
+            starts = [[t[:size] for x, t in rows if x == lang and len(t) >= size] for size in STARTS]
+            least.append([LEAST] + [self.limit(np.array([counts_of(t) for t in texts], np.float32), c) if texts else LEAST for texts in starts])
         self.centroids, self.owner, self.least = np.concatenate(centroids), np.array(owner), np.array(least)
 
+    def limit(self, counts: np.ndarray, centroids: np.ndarray) -> float:
+        return max(LEAST, SLACK * float(np.quantile((self.vectors(counts) @ centroids.T).max(axis=1), LOW)))
+
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit(np.log1p(counts) * self.idf)
 
@@ -93,11 +100,12 @@ class Model:
         cosines = self.vectors(np.array([counts_of(t) for t in texts], np.float32)) @ self.centroids.T
         best = np.argmax(cosines, axis=1)
         score, lang = np.clip(cosines[np.arange(len(texts)), best], 0, 1), self.owner[best]
+        lengths = np.searchsorted(STARTS, [len(t) for t in texts], side="right")
         lettered = np.array([bool(_ANY_LETTER.search(t)) for t in texts])
         return (
             [self.languages[n] if ok else UNKNOWN for n, ok in zip(lang, lettered, strict=True)],
             np.where(lettered, score, 0.0).astype(float).tolist(),
-            (~lettered | (score < self.least[lang])).tolist(),
+            (~lettered | (score < self.least[lang, lengths])).tolist(),
         )
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comparing import DATA, duck, spark_rows
-from pageloom.llm import counts, decontam, linedup, neardup, queries
+from pageloom.llm import counts, decontam, langid, linedup, neardup, queries
 
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -54,6 +54,22 @@ def test_languages_of_held_out_rows(spark):
     assert out.where("lang = lang_pred").count() >= 0.95 * out.count() and out.where("rejected").count() <= 1
 
 
+@tables
+def test_languages_that_were_not_learned_are_rejected(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(7)
+    strange = [
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(150)),
+        "".join(rng.choices("0123456789abcdef", k=1500)),
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    ]
+    model = langid.fit(docs)
+    assert model.predict(strange)[2] == [True] * 4
+    held = [r.text for r in docs.where(langid.held_out("doc_id") & F.col("text").rlike("[a-z]")).collect()]
+    assert len(held) > 20 and not any(model.predict(held)[2])
+
+
 @tables
 def test_quality_of_labelled_rows(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
