@@ -252,3 +252,11 @@ def test_raw_results(spark):
     assert (out["b"].source_index, out["b"].top, out["b"].left, out["b"].bottom, out["b"].right, out["b"].score) == (0, 20.0, 5.0, 30.0, 9.0, 0.9)
     assert out["a"].source_index == 1 and out["a"].score is None and not out["c"].has_geometry and (out["c"].top, out["c"].bottom) == (2.0, 3.0)
     assert ocr.horizontal_text(ocr.blocks_of(df)).first().text == "a\nc\nb"
+
+
+def test_differences_of_every_item(spark, tmp_path):
+    from pageloom.plans import catalogue
+
+    spark.createDataFrame([(1, "the cat"), (2, "thé à la menthe"), (3, "中文 the")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.item_id: r.differences for r in catalogue.accuracy_differences(spark, str(tmp_path)).collect()}
+    assert set(out) == {1, 2, 3} and all(x not in (None, "[]") for x in out.values())
