@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,33 +12,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether Spark removes the shuffle files of a query once the query is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder of spark.checkpoint.dir, to cut lineage.
 
     Unlike cached blocks or local checkpoints, they outlive the executors that wrote
-    them. `drop` deletes a table that no later plan reads.
+    them. `drop` deletes tables that no later plan reads, `done` all that a result
+    doesn't read. Without that setting only a local run has a folder that all see.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
-        root = root or tempfile.mkdtemp(prefix="pageloom-")  # unset: a local run
-        self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
+        if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="pageloom-")
+        self.spark, self.root, self.tables = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        # what the plan shuffled is of no use now: the context cleaner drops it once the driver's plan objects are gone
-        gc.collect()
-        self.spark._jvm.System.gc()
+        path = f"{self.root}/{len(self.tables) + 1:03d}-{name}"
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")  # the table is read from now on, what its plan shuffled is of no more use
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
+        self.tables.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
-            for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+                self.delete(folder)
+
+    def done(self, out: DataFrame) -> DataFrame:
+        """The result, after all tables that it doesn't read are deleted."""
+        read = {x.rsplit("/", 2)[1] for x in out.inputFiles()}
+        for path in self.tables:
+            if path.rsplit("/", 1)[1] not in read:
+                self.delete(path)
+        return out
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """The name, with as many underscores behind it as make it differ from all names that are taken."""
+    while any(name.lower() == c.lower() for columns in taken for c in columns):
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -34,64 +34,76 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges = new
 
 
-#: Members of a list that all others of it meet first.
+#: Members of a long list that all others of it meet first.
 CENTRES = 4
-#: All pairs are made at once if they are at most so many for each posting.
+#: That is left out if the blocks of long lists have at most so many pairs for each posting.
 PER_POSTING = 4
-#: A list of more members is compared in blocks.
+#: A list of more members is long.
 LONG = 32
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], scratch: Scratch, common: int = 1) -> DataFrame:
     """The verified links (a, b) that connect whatever true links among documents of one posting list connect.
 
-    postings: key, id (different rows). verify: pairs (a, b) to those that are links.
-    compare: members of long lists (key, id, group) to the links between different
-    groups of a list, without a row for each pair.
+    postings: key, id (different rows), n (the list's members). verify: pairs (a, b) to
+    those that are links. compare: members of long lists (key, id, group) to the links
+    between different groups of a list, without a row for each pair. common: lists that
+    two ids must share to be a pair; ids that are both in long lists need but one.
 
-    First, every member of a list meets the list's centres, members chosen by hash: a
-    large group of copies so becomes one component with a few pairs a member. Then all
-    pairs of a list that are not in one component are verified, those of long lists
-    block by block: no link is lost.
+    Short lists give all their pairs. In a long list every member first meets the list's
+    centres, members chosen by hash: a large group of copies so becomes one component
+    with a few pairs a member. What is not in one component after that is compared block
+    by block: no link is lost.
     """
-    labelled = postings.withColumn("group", F.col("id"))
-    labelled, total = open_lists(labelled, scratch)
+    long = postings.where(F.col("n") > LONG)
+    total = long.agg(F.count("*").alias("n"), F.sum("n").alias("pairs")).first()
+    links = scratch.keep(verify(scratch.keep(short_pairs(postings, common if common > 1 else 0, total["n"]), "pairs")), "links")
     if not total["n"]:
-        return postings.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    links = tried = None
-    if total["pairs"] > PER_POSTING * total["n"]:
-        tried = scratch.keep(ordered(centre_pairs(labelled, scratch)), "pairs")
-        links = scratch.keep(verify(tried), "links")
-        groups = components(links, scratch)
-        labelled = labelled.drop("group").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"), "n")
-        labelled, total = open_lists(labelled.drop("n"), scratch)
-        if not total["n"]:
-            return links
-    compared = scratch.keep(compare(labelled.where(F.col("n") > LONG).drop("n")), "links")
-    pairs = ordered(all_pairs(labelled.where(F.col("n") <= LONG).drop("n"), scratch))
-    pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-    found = scratch.keep(verify(pairs), "links").unionAll(compared)
-    return found if links is None else links.unionAll(found)
-
-
-def open_lists(labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict]:
-    """The members (key, id, group) of lists with several groups, with the list's size n; and the sums of pairs across groups and of members."""
-    labelled = scratch.keep(labelled, "labelled")
-    sizes = labelled.groupBy("key", "group").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("groups"))
-    keys = scratch.keep(sizes.where("groups > 1").select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")), "open")
-    total = keys.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-    return scratch.keep(labelled.join(keys.select("key", "n"), "key"), "members"), total
+        return links
+    members = relabelled(long.select("key", "id"), links, scratch)
+    if total["pairs"] > 2 * PER_POSTING * total["n"]:
+        met = scratch.keep(verify(scratch.keep(ordered(centre_pairs(members, scratch)), "pairs")), "links")
+        links = links.unionAll(met)
+        members = relabelled(long.select("key", "id"), links, scratch)
+    return links.unionAll(scratch.keep(compare(open_lists(members, scratch)), "links"))
+
+
+def short_pairs(postings: DataFrame, common: int, long: int) -> DataFrame:
+    """Pairs (a, b) of members of a short list; if common is given, those of so many lists, or of ids that are both in long ones."""
+    short = postings.where(F.col("n") <= LONG).select("key", "id")
+    if not common:
+        return ordered(short.select("key", F.col("id").alias("x")).join(short.select("key", F.col("id").alias("y")), "key").where("x < y"))
+    hot = F.lit(False)
+    if long:
+        ids = postings.where(F.col("n") > LONG).select("id").distinct().withColumn("hot", F.lit(True))
+        short, hot = short.join(ids, "id", "left"), F.coalesce("hot", hot)
+    short = short.select("key", "id", hot.alias("hot"))
+    x, y = (short.select("key", F.col("id").alias(c), F.col("hot").alias(f"hot_{c}")) for c in "xy")
+    pairs = x.join(y, "key").where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"), F.max(F.col("hot_x") & F.col("hot_y")).alias("hot"))
+    return pairs.where((F.col("n") >= common) | F.col("hot")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def relabelled(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members (key, id) with group: their component so far."""
+    groups = components(links, scratch)
+    return scratch.keep(members.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group")), "labelled")
+
+
+def open_lists(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members (key, id, group) of lists that have several groups."""
+    keys = scratch.keep(labelled.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key"), "open")
+    return labelled.join(keys, "key")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def block_pairs(members: DataFrame, sets: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """key, docs_x, docs_y: pairs of blocks of about `size` members (key, id, group) of one list, with the columns of sets (id, ...).
+def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float, scratch: Scratch) -> DataFrame:
+    """key, docs_x, docs_y: pairs of blocks of about `size` members (key, id, group) of one list, with the columns of sets (id, n, ...).
 
-    Large groups have blocks of their own, which do not meet each other.
+    Large groups have blocks of their own, which do not meet each other; nor do blocks
+    of sets whose sizes n are too far apart for a similarity of `similar`.
     """
     members = scratch.keep(members, "members")
     sizes = scratch.keep(members.groupBy("key", "group").agg(F.count("*").alias("size")), "sizes")
@@ -100,10 +112,12 @@ def block_pairs(members: DataFrame, sets: DataFrame, size: int, scratch: Scratch
     owner = F.when(large, F.col("group"))
     slot = F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / size))).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("rest") / size)))
     dealt = members.join(sizes, ["key", "group"]).join(small, "key", "left").select("key", "id", "group", owner.alias("owner"), F.xxhash64(owner, slot).alias("block"))
-    full = dealt.join(sets, "id").groupBy("key", "block", "owner").agg(F.collect_list(F.struct("id", "group", *(c for c in sets.columns if c != "id"))).alias("docs"))
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similar))).cast("int")
+    full = dealt.join(sets, "id").withColumn("level", level).groupBy("key", "block", "owner", "level").agg(F.collect_list(F.struct("id", "group", *(c for c in sets.columns if c not in ("id", "n")))).alias("docs"))
     blocks = scratch.keep(full, "blocks")
-    x, y = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "owner", "docs"))) for side in "xy")
-    return x.join(y, "key").where("block_x <= block_y AND (owner_x IS NULL OR owner_y IS NULL OR owner_x <> owner_y)").select("key", "docs_x", "docs_y")
+    x, y = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "owner", "level", "docs"))) for side in "xy")
+    # each two blocks once; sets of one level may lie two apart by rounding only, at a ratio that is too far in any case
+    return x.join(y, "key").where("(level_x = level_y AND block_x <= block_y OR level_y = level_x + 1) AND (owner_x IS NULL OR owner_y IS NULL OR owner_x <> owner_y)").select("key", "docs_x", "docs_y")
 
 
 def centre_pairs(labelled: DataFrame, scratch: Scratch) -> DataFrame:
@@ -113,11 +127,3 @@ def centre_pairs(labelled: DataFrame, scratch: Scratch) -> DataFrame:
     own = F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))
     met = labelled.join(centres, "key").select("id", F.explode(F.filter(own, lambda c: c != F.col("id"))).alias("c"))
     return met.select(F.col("id").alias("x"), F.col("c").alias("y"))
-
-
-def all_pairs(labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs (x, y) of members of one list in different groups."""
-    groups = scratch.keep(labelled.select("key", "group").distinct(), "groups")
-    across = scratch.keep(groups.select("key", F.col("group").alias("g")).join(groups.select("key", F.col("group").alias("h")), "key").where("g < h"), "across")
-    left = across.join(labelled.select("key", F.col("group").alias("g"), F.col("id").alias("x")), ["key", "g"])
-    return left.join(labelled.select("key", F.col("group").alias("h"), F.col("id").alias("y")), ["key", "h"]).select("x", "y")

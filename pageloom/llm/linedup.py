@@ -1,17 +1,21 @@
 r"""Fuzzy line deduplication by MinHash, with DataFrame and SQL functions only.
 
-Lines are compared trimmed and in lower case; a line of fewer than 20 characters then
-is never a copy, as short lines are alike by chance. Equal lines are one class. A class
-is the set of hashes of its runs of 5 characters at all places, in order on a circle.
-Its sketch has a key for each of 16 arcs: the hash of the 6 members that follow the
-arc's start. Two lines of similarity J have one such key in common with probability J^6
-about, wherever they differ and with or without spaces. Small sets take fewer members,
-a quarter of the set. Lines that share a key are candidates, and every one of them is
-confirmed by the exact Jaccard similarity of the sets. Components of confirmed links
-keep their first line, by document id and line number.
-
-Two lines of similarity 0.8 are candidates with probability of about 0.99. Of large
-groups of copies, all links between lines of one list are followed; none is capped.
+Lines are compared trimmed and in lower case; lines that are blank then are no copies
+of each other, and stay. Equal lines are one class, whatever their length. Lines of 20
+characters or more (a parameter; shorter ones are alike by chance) are near copies too,
+if the sets of their runs of 5 characters, at all places, have a Jaccard similarity of
+at least 0.8.
+
+A class has a signature of 25 MinHash values: the least hash under each of 25 orders.
+The values are the points of a plane over the numbers modulo 5, whose 30 straight lines
+are the bands, 5 values each; two bands have one value in common at most. Classes that
+agree in two bands, 9 values or more, are candidates, and every candidate is confirmed by
+the exact similarity of the sets. Components of confirmed links keep their first line,
+by document id and line number.
+
+Two lines of similarity 0.8 are candidates with probability of about 0.985, of 0.85
+with 0.998, wherever they differ and with or without spaces. Of large groups of copies,
+all links between lines of one list are followed; none is capped.
 
 A document's lines end at "\n"; null texts have none. Rows with a null id keep all
 their lines. Rows that share an id are one document: of equal lines in them, the one
@@ -21,61 +25,68 @@ with the smaller number is first, and all rows lose the same line numbers. Equal
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import Scratch
+from pageloom.llm.common import Scratch, fresh
 from pageloom.llm.components import block_pairs, components, linked
 
 LEAST_CHARS = 20
 SHINGLE = 5
-#: Arcs of the circle of hashes (as bits), and members of a key; a set has at least PART times as many.
-ARC_BITS, ROWS, PART = 4, 6, 4
+#: Values of a band, a prime; there are PLANE * PLANE values and PLANE * (PLANE + 1) bands.
+PLANE = 5
+#: Bands in which candidates agree.
+COMMON = 2
+#: Bands that are posted in one pass over the signatures, so that the disk holds the shuffle of a part of them.
+AT_ONCE = 10
 SIMILAR = 0.8
 #: Lines of a block, of which two are compared at once.
 BLOCK = 64
 
+_RANDOM = random.Random(17)
+#: An order of the hashes is that of their exclusive or with one of these.
+ORDERS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(PLANE * PLANE)]
+#: The values of each band: the straight lines y = m x + b, and those of equal x.
+BANDS = [[x * PLANE + (m * x + b) % PLANE for x in range(PLANE)] for m in range(PLANE) for b in range(PLANE)] + [[x * PLANE + y for y in range(PLANE)] for x in range(PLANE)]
+
 
 def compared(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.lower(F.trim(line, F.lit(" \t\r\v\f")))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, line_no, line, and lid (its hash) of the lines that are compared."""
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "line_no", compared(F.col("line")).alias("line")).where(F.length("line") >= LEAST_CHARS)
+    lines = lines.select("id", "line_no", compared(F.col("line")).alias("line")).where("line <> ''")
     return lines.select("id", "line_no", "line", F.xxhash64("line").alias("lid"))
 
 
-def rows_of(n: Column) -> Column:
-    """Members of a key of a set of n."""
-    return F.greatest(F.lit(1), F.least(F.lit(ROWS), F.floor(n / PART))).cast("int")
-
+def signatures(lines: DataFrame) -> DataFrame:
+    """lid, sig: the MinHash values of lines (lid, line), aggregated from a row for each run of characters.
 
-def sketch(line: Column) -> Column:
-    """The keys of a line: for the first hash of each arc, that of it and those that follow on the circle.
-
-    A set that may be compared with sets of other key lengths has keys of all of these.
+    A run is cut out of the line's code points of 4 bytes each, which takes the same
+    time at every place. The values are 32 bits wide.
     """
+    codes = lines.select("lid", F.encode("line", "UTF-32").alias("codes"))
+    last = (F.length("codes") / 4).cast("int") - SHINGLE
+    runs = codes.where(last >= 0).select("lid", "codes", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    h = runs.select("lid", F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
+    least = h.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(ORDERS)])
+    return least.select("lid", F.array(*[F.shiftright(f"m{k}", 16).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(len(ORDERS))]).alias("sig"))
 
-    def keys(s: Column, ring: Column, rows: Column) -> Column:
-        first = lambda x, i: (i == 0) | (F.shiftright(x, 64 - ARC_BITS) != F.shiftright(F.get(s, i - 1), 64 - ARC_BITS))
-        return F.array_compact(F.transform(s, lambda x, i: F.when(first(x, i), F.xxhash64(F.slice(ring, i + 1, rows)))))
-
-    def all_keys(s: Column, ring: Column) -> Column:
-        lengths = F.sequence(rows_of(F.floor(F.size(s) * SIMILAR)), rows_of(F.ceil(F.size(s) / SIMILAR)))
-        lengths = F.filter(lengths, lambda rows: rows <= F.size(s))
-        return F.array_distinct(F.flatten(F.transform(lengths, lambda rows: keys(s, ring, rows))))
-
-    rings = lambda s: F.transform(F.array(F.concat(s, F.slice(s, 1, ROWS - 1))), lambda ring: all_keys(s, ring))
-    return F.get(F.flatten(F.transform(F.array(F.sort_array(shingles_of(line))), rings)), F.lit(0))
 
-
-def posted(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, id: each line under those of its keys that other lines have."""
-    values = classes.select(F.col("lid").alias("id"), F.explode("keys").alias("key"))
-    shared = scratch.keep(values.groupBy("key").count().where("count > 1").select("key"), "shared")
-    return values.join(shared, "key").select("key", "id")
+def posted(sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id, n: each line under those of its bands that other lines have, with the number of lines; some bands at a time."""
+    parts = []
+    for start in range(0, len(BANDS), AT_ONCE):
+        keys = F.array(*[F.xxhash64(F.lit(start + k), *[F.get("sig", F.lit(i)) for i in band]) for k, band in enumerate(BANDS[start : start + AT_ONCE])])
+        values = sketches.select(F.col("lid").alias("id"), F.explode(keys).alias("key"))
+        shared = scratch.keep(values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        parts.append(scratch.keep(values.join(shared, "key").select("key", "id", "n"), "postings"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def shingles_of(line: Column) -> Column:
@@ -96,24 +107,23 @@ def similar(a: Column, b: Column) -> Column:
 
 
 def block_links(pairs: DataFrame) -> DataFrame:
-    """Links (a, b) of two blocks' lines (id, group, set, bands) in different groups, each pair at its smallest band alone."""
+    """Links (a, b) of two blocks' lines (id, group, set) in different groups, a group's with each other line once."""
 
-    def here(p: Column, q: Column) -> Column:
-        return (p["group"] != q["group"]) & (F.array_min(F.array_intersect(p["bands"], q["bands"])) == F.col("key")) & near(p["set"], q["set"])
+    def of(p: Column) -> Column:
+        hits = F.filter("docs_y", lambda q: (p["group"] != q["group"]) & near(p["set"], q["set"]))
+        return F.transform(hits, lambda q: F.struct(F.least(p["id"], q["id"]).alias("a"), F.greatest(p["id"], q["id"]).alias("b")))
 
-    links = F.transform("docs_x", lambda p: F.transform(F.filter("docs_y", lambda q: here(p, q)), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b"))))
-    return pairs.select(F.explode(F.flatten(links)).alias("l")).select("l.a", "l.b")
+    return pairs.select(F.explode(F.flatten(F.transform("docs_x", of))).alias("l")).select("l.a", "l.b").distinct()
 
 
-def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """lid, first_id, first_line of every class that has copies or near copies."""
-    found = lines_of(docs, id_col, text_col)
+def groups_of(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, least_chars: int, scratch: Scratch) -> DataFrame:
+    """lid, first_id, first_line of every class that has copies or near copies. found: id, line_no, lid."""
+    sketches = scratch.keep(signatures(lines_of(docs, id_col, text_col).where(F.length("line") >= least_chars)), "sketches")
+    postings = posted(sketches, scratch)
+    known = scratch.keep(postings.select(F.col("id").alias("lid")).distinct(), "known")
     owner = F.min(F.struct("id", "line_no")).alias("owner")
-    sketched = found.select("lid", "id", "line_no", sketch(F.col("line")).alias("keys"))
-    classes = scratch.keep(sketched.groupBy("lid").agg(owner, F.count("*").alias("n"), F.min("keys").alias("keys")), "classes")
-    postings = scratch.keep(posted(classes, scratch), "postings")
-    known = scratch.keep(classes.drop("keys").join(postings.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi"), "known")
-    texts = scratch.keep(class_texts(docs, known, id_col, text_col), "texts")
+    classes = scratch.keep(found.groupBy("lid").agg(owner, F.count("*").alias("n")), "classes")
+    texts = scratch.keep(class_texts(docs, classes.join(known, "lid", "left_semi"), id_col, text_col), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -122,12 +132,11 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) ->
 
     def compare(members: DataFrame) -> DataFrame:
         wanted = members.select(F.col("id").alias("lid")).distinct()
-        own = postings.groupBy("id").agg(F.collect_list("key").alias("bands"))
         sets = texts.join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), shingles_of(F.col("line")).alias("set"))
-        sets = scratch.keep(sets.join(own, "id"), "sets")
-        return block_links(block_pairs(members, sets, BLOCK, scratch))
+        sets = scratch.keep(sets.withColumn("n", F.size("set")), "sets")
+        return block_links(block_pairs(members, sets, BLOCK, SIMILAR, scratch))
 
-    groups = components(linked(postings, verify, compare, scratch), scratch)
+    groups = components(linked(postings, verify, compare, scratch, COMMON), scratch)
     groups = groups.select(F.col("id").alias("lid"), "component")
     named = scratch.keep(classes.join(groups, "lid", "left").where("n > 1 OR component IS NOT NULL").select("lid", "owner", F.coalesce("component", "lid").alias("component")), "named")
     firsts = scratch.keep(named.groupBy("component").agg(F.min("owner").alias("first")), "firsts")
@@ -142,21 +151,37 @@ def class_texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     return rows.where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"])
 
 
-def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, line_no (from 0), first_doc, first_line (of the line's component), kept, for every compared line."""
-    groups = groups_of(docs, id_col, text_col, Scratch(docs.sparkSession, "linedup"))
-    found = lines_of(docs, id_col, text_col).drop("line").distinct().join(groups, "lid", "left")
+def line_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """id, line_no (from 0), first_doc, first_line (of the line's component), kept, for every line that is not blank."""
+    scratch = Scratch(docs.sparkSession, "linedup")
+    found = scratch.keep(lines_of(docs, id_col, text_col).select("id", "line_no", "lid").distinct(), "lines")
+    groups = groups_of(found, docs, id_col, text_col, max(least_chars, SHINGLE), scratch)
+    out = found.join(groups, "lid", "left")
     first_id, first_line = F.coalesce("first_id", "id"), F.when(F.col("first_id").isNull(), F.col("line_no")).otherwise(F.col("first_line"))
-    return found.select(F.col("id").alias(id_col), "line_no", first_id.alias("first_doc"), first_line.alias("first_line"), ((first_id == F.col("id")) & (first_line == F.col("line_no"))).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), "line_no", first_id.alias("first_doc"), first_line.alias("first_line"), ((first_id == F.col("id")) & (first_line == F.col("line_no"))).alias("kept"))
+    return scratch.done(out)
+
+
+def without(text: Column, gone: Column) -> Column:
+    """The text without the lines of sorted numbers: the slices between them, each line taken once."""
+    ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.lit(1 << 30)))
+    own = F.array(F.struct(F.split(text, "\n").alias("lines"), ends.alias("ends")))  # bound to a lambda's variable, so that it is split once
+
+    def kept(s: Column) -> Column:
+        between = lambda k: F.slice(s["lines"], F.get(s["ends"], k) + 2, F.get(s["ends"], k + 1) - F.get(s["ends"], k) - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["ends"]) - 2), between)), "\n")
+
+    return F.get(F.transform(own, kept), F.lit(0))
 
 
-def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """The documents without the lines that copy an earlier one, all columns kept.
 
-    A document that loses all its lines stays, with an empty text.
+    A document that loses all its lines goes, as its first lines stand elsewhere; null,
+    empty and blank texts stay as they are.
     """
-    groups = line_groups(docs, id_col=id_col, text_col=text_col)
-    gone = groups.where(~F.col("kept")).groupBy(id_col).agg(F.collect_list("line_no").alias("__gone"))
-    rest = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    out = docs.join(gone, id_col, "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
-    return out.select(docs.columns)
+    groups = line_groups(docs, id_col=id_col, text_col=text_col, least_chars=least_chars)
+    gone = fresh("gone", docs.columns)
+    lost = groups.where(~F.col("kept")).groupBy(id_col).agg(F.array_sort(F.collect_set("line_no")).alias(gone))
+    out = docs.join(lost, id_col, "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(gone))))
+    return out.where(F.col(gone).isNull() | F.col(text_col).rlike(r"\S")).select(docs.columns)

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import Scratch, as_bytes, slices
+from pageloom.llm import components as components_
 from pageloom.llm.components import block_pairs, components, linked
 
 WORDS = 5
@@ -111,11 +112,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def posted(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, id: each document under its prefix of coordinate-value pairs, the rarest first."""
+    """key, id, n (members of the key's list): each document under its prefix of coordinate-value pairs, the rarest first.
+
+    Two documents that share T values are found under the rarest of them. If that is in
+    a long list, so are the others: of long lists, documents with fewer than T such
+    values are left out. A passage that many documents share has few of them.
+    """
     values = classes.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("key"))
     shared = scratch.keep(values.groupBy("key").count().where("count > 1"), "shared")
     own = values.join(shared, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("keys")).where(F.size("keys") >= T)
-    return own.select("id", F.explode(F.slice("keys", 1, F.size("keys") - (T - 1))).alias("x")).select(F.col("x.key").alias("key"), "id")
+    long = F.size(F.filter("keys", lambda x: x["count"] > components_.LONG))
+    own = own.select("id", F.explode(F.slice("keys", 1, F.size("keys") - (T - 1))).alias("x"), (long >= T).alias("deep"))
+    own = scratch.keep(own.where((F.col("x.count") <= components_.LONG) | F.col("deep")).select(F.col("x.key").alias("key"), "id"), "prefixes")
+    sizes = scratch.keep(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    return scratch.keep(own.join(sizes, "key"), "postings")
 
 
 def packed_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -213,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = all_rows.where("n > 0 AND id IS NOT NULL")
     owners = scratch.keep(rows.groupBy("d1", "d2").agg(F.min("id").alias("owner")), "owners")
     classes = scratch.keep(rows.join(owners, (rows.d1 == owners.d1) & (rows.d2 == owners.d2) & (rows.id == owners.owner)).select("id", "n", rows.d1, rows.d2, "sig").dropDuplicates(["id", "d1", "d2"]).drop("d1", "d2"), "classes")
-    postings = scratch.keep(posted(classes, scratch), "postings")
+    postings = posted(classes, scratch)
     ids = postings.select("id").distinct()
     known = scratch.keep(classes.join(ids, "id", "left_semi"), "known")
     texts = scratch.keep(packed_texts(docs, ids, id_col, text_col).distinct(), "texts")
@@ -228,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return confirmed(pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a"))
 
     def compare(members: DataFrame) -> DataFrame:
-        return compared(block_pairs(members, texts, BLOCK, scratch))
+        return compared(block_pairs(members, texts.join(known.select("id", "n"), "id"), BLOCK, PART / WHOLE, scratch))
 
     # documents that share an id belong together, too
     same_id = rows.join(owners, ["d1", "d2"]).select(F.col("owner").alias("a"), F.col("id").alias("b")).where("a <> b")

@@ -61,10 +61,17 @@ def test_one_row_for_each_row(spark, odd, empty, labels, bench, name):
 
 def test_lines(spark, odd, empty):
     out = linedup.line_groups(odd)
-    assert {r.doc_id for r in out.where("kept").collect()} == {1, 7, 8}
-    assert linedup.line_groups(empty).count() == 0
+    assert {r.doc_id for r in out.where("kept").collect()} == {1, 7, 8, 9, 10}
+    assert linedup.line_groups(empty).count() == 0 and linedup.drop_copies(empty).count() == 0
     left = {r.doc_id: r.text for r in linedup.drop_copies(odd).collect()}
-    assert left[4] is None and left[2] == "" and left[10] == "one two" and left[None] and linedup.drop_copies(odd).columns == odd.columns
+    assert set(left) == {None, 1, 4, 5, 6, 7, 8, 9, 10}  # 2, 3 and 11 have lost all they had
+    assert left[4] is None and left[5] == "" and left[10] == "one two" and left[None] and linedup.drop_copies(odd).columns == odd.columns
+
+
+def test_lines_are_cut_where_they_stand(spark):
+    rows = [(1, "a\n\nb\nc", 0), (2, "x\nb\n\nA \ny\n", 0), (3, "b\nz", 0), (4, "b\n \nc", 0)]
+    left = {r.doc_id: r.text for r in linedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, gone int")).collect()}
+    assert left == {1: "a\n\nb\nc", 2: "x\n\ny\n", 3: "z"}
 
 
 def test_near_duplicates(odd):
