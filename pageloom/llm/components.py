@@ -50,16 +50,28 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
     between different groups of a list, without a row for each pair. common: lists that
     two ids must share to be a pair; ids that are both in long lists need but one.
 
-    Short lists give all their pairs. In a long list every member first meets the list's
+    Short lists give all their pairs: first each id's best one, then those of ids that are
+    not in one component by now. In a long list every member first meets the list's
     centres, members chosen by hash: a large group of copies so becomes one component
     with a few pairs a member. What is not in one component after that is compared block
     by block: no link is lost.
     """
     long = postings.where(F.col("n") > LONG)
     total = long.agg(F.count("*").alias("n"), F.sum("n").alias("pairs")).first()
-    links = scratch.keep(verify(scratch.keep(short_pairs(postings, common if common > 1 else 0, total["n"]), "pairs")), "links")
+    pairs = scratch.keep(short_pairs(postings, common, total["n"]), "pairs")
+    best = scratch.keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    links = scratch.keep(verify(best), "links")
+    groups = components(links, scratch)
+    label = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"group_{c}"))
+    rest = pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    rest = scratch.keep(rest.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b"), "pairs")
+    links = links.unionAll(scratch.keep(verify(rest), "links"))
+    scratch.drop(pairs, best, rest)
     if not total["n"]:
         return links
+    if common > 1:  # two ids of common lists still have one without each one's largest
+        largest = long.groupBy("id").agg(F.max(F.struct("n", "key")).alias("l")).select("id", F.col("l.key").alias("key"))
+        long = scratch.keep(long.join(largest, ["id", "key"], "left_anti"), "long")
     members = relabelled(long.select("key", "id"), links, scratch)
     if total["pairs"] > 2 * PER_POSTING * total["n"]:
         met = scratch.keep(verify(scratch.keep(ordered(centre_pairs(members, scratch)), "pairs")), "links")
@@ -69,18 +81,15 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
 
 
 def short_pairs(postings: DataFrame, common: int, long: int) -> DataFrame:
-    """Pairs (a, b) of members of a short list; if common is given, those of so many lists, or of ids that are both in long ones."""
-    short = postings.where(F.col("n") <= LONG).select("key", "id")
-    if not common:
-        return ordered(short.select("key", F.col("id").alias("x")).join(short.select("key", F.col("id").alias("y")), "key").where("x < y"))
-    hot = F.lit(False)
-    if long:
+    """a, b, n: pairs of members of short lists with the number of these; at least `common`, or one if both ids are in long lists, too."""
+    short, hot = postings.where(F.col("n") <= LONG).select("key", "id"), F.lit(False)
+    if long and common > 1:
         ids = postings.where(F.col("n") > LONG).select("id").distinct().withColumn("hot", F.lit(True))
         short, hot = short.join(ids, "id", "left"), F.coalesce("hot", hot)
     short = short.select("key", "id", hot.alias("hot"))
-    x, y = (short.select("key", F.col("id").alias(c), F.col("hot").alias(f"hot_{c}")) for c in "xy")
-    pairs = x.join(y, "key").where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"), F.max(F.col("hot_x") & F.col("hot_y")).alias("hot"))
-    return pairs.where((F.col("n") >= common) | F.col("hot")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    x, y = (short.select("key", F.col("id").alias(c), F.col("hot").alias(f"hot_{c}")) for c in "ab")
+    pairs = x.join(y, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.col("hot_a") & F.col("hot_b")).alias("hot"))
+    return pairs.where((F.col("n") >= common) | F.col("hot")).select("a", "b", "n")
 
 
 def relabelled(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -121,9 +130,9 @@ def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float,
 
 
 def centre_pairs(labelled: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each member (x) with the centres (y) of its lists."""
-    nearest = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
+    """Each member (x) with those centres (y) of its lists that are not in its group."""
+    nearest = [F.min_by(F.struct("id", "group"), F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
     centres = scratch.keep(labelled.groupBy("key").agg(*[c.alias(f"c{k}") for k, c in enumerate(nearest)]), "centres")
     own = F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))
-    met = labelled.join(centres, "key").select("id", F.explode(F.filter(own, lambda c: c != F.col("id"))).alias("c"))
-    return met.select(F.col("id").alias("x"), F.col("c").alias("y"))
+    met = labelled.join(centres, "key").select("id", F.explode(F.filter(own, lambda c: c["group"] != F.col("group"))).alias("c"))
+    return met.select(F.col("id").alias("x"), F.col("c.id").alias("y"))

@@ -91,13 +91,18 @@ def posted(sketches: DataFrame, scratch: Scratch) -> DataFrame:
 
 def shingles_of(line: Column) -> Column:
     """Hashes of the different runs of SHINGLE characters; a line has at least that many."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda x: F.xxhash64(x)))
 
+    def runs(codes: Column) -> Column:
+        last = (F.length(codes) / 4).cast("int") - SHINGLE
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda at: F.xxhash64(F.substring(codes, at * 4 + 1, F.lit(4 * SHINGLE)))))
 
-def near(x: Column, y: Column) -> Column:
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), runs), F.lit(0))
+
+
+def near(x: Column, y: Column, least: float = SIMILAR) -> Column:
     """Whether two sets are similar enough."""
-    most = F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y)) - 1e-9
-    return most & (F.size(F.array_intersect(x, y)) * (1 + SIMILAR) >= SIMILAR * (F.size(x) + F.size(y)) - 1e-9)
+    most = F.least(F.size(x), F.size(y)) >= least * F.greatest(F.size(x), F.size(y)) - 1e-9
+    return most & (F.size(F.array_intersect(x, y)) * (1 + least) >= least * (F.size(x) + F.size(y)) - 1e-9)
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -106,11 +111,11 @@ def similar(a: Column, b: Column) -> Column:
     return F.exists(sets, lambda s: near(s["x"], s["y"]))
 
 
-def block_links(pairs: DataFrame) -> DataFrame:
+def block_links(pairs: DataFrame, least: float) -> DataFrame:
     """Links (a, b) of two blocks' lines (id, group, set) in different groups, a group's with each other line once."""
 
     def of(p: Column) -> Column:
-        hits = F.filter("docs_y", lambda q: (p["group"] != q["group"]) & near(p["set"], q["set"]))
+        hits = F.filter("docs_y", lambda q: (p["group"] != q["group"]) & near(p["set"], q["set"], least))
         return F.transform(hits, lambda q: F.struct(F.least(p["id"], q["id"]).alias("a"), F.greatest(p["id"], q["id"]).alias("b")))
 
     return pairs.select(F.explode(F.flatten(F.transform("docs_x", of))).alias("l")).select("l.a", "l.b").distinct()
@@ -120,6 +125,7 @@ def groups_of(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, lea
     """lid, first_id, first_line of every class that has copies or near copies. found: id, line_no, lid."""
     sketches = scratch.keep(signatures(lines_of(docs, id_col, text_col).where(F.length("line") >= least_chars)), "sketches")
     postings = posted(sketches, scratch)
+    scratch.drop(sketches)
     known = scratch.keep(postings.select(F.col("id").alias("lid")).distinct(), "known")
     owner = F.min(F.struct("id", "line_no")).alias("owner")
     classes = scratch.keep(found.groupBy("lid").agg(owner, F.count("*").alias("n")), "classes")
@@ -132,9 +138,11 @@ def groups_of(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, lea
 
     def compare(members: DataFrame) -> DataFrame:
         wanted = members.select(F.col("id").alias("lid")).distinct()
-        sets = texts.join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), shingles_of(F.col("line")).alias("set"))
+        # half of each hash, to move less; what is similar by these, and a little below, is confirmed by the texts
+        half = F.transform(shingles_of(F.col("line")), lambda x: F.shiftright(x, 32).cast("int"))
+        sets = texts.join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), half.alias("set"))
         sets = scratch.keep(sets.withColumn("n", F.size("set")), "sets")
-        return block_links(block_pairs(members, sets, BLOCK, SIMILAR, scratch))
+        return verify(scratch.keep(block_links(block_pairs(members, sets, BLOCK, SIMILAR - 0.02, scratch), SIMILAR - 0.02), "pairs"))
 
     groups = components(linked(postings, verify, compare, scratch, COMMON), scratch)
     groups = groups.select(F.col("id").alias("lid"), "component")
