@@ -6,16 +6,24 @@ their distance, and so gives an upper bound of their inner product:
 2 q.x = |q|^2 + |x|^2 - d(q, x)^2. A query evaluates candidates in the order of their
 bounds and stops, exactly, once the k-th best score is over the next bound.
 
+A query's first bar is its k-th best score among a sample of the rows, which the pivots
+come from; its best scores go with it from block to block of a task. On vectors in
+clusters most candidates fall to the bounds. Where all vectors are about equally far
+from each other, such as random ones of 64 dimensions, the bounds of any pivots lie
+above the best scores, and nearly all candidates are evaluated: the result is as exact.
+
 Vectors are integers: floor(scale * x). Those that are null, or hold a null, NaN or
 infinite component, take no part, nor do rows with a null id. Only vectors of one
-length are compared; empty vectors score 0 with each other. Candidates with the
-query's id are left out. Ties go to the smaller id. An id that several query rows
-share has one ranking over all of them. Scores beyond 64 bits are held at their ends.
+length are compared; empty vectors score 0 with each other. A query's candidates are
+all rows but its own: others that share its id, or its id and vector, are candidates.
+Query rows that share an id have a ranking each. Ties go to the smaller id. Scores
+beyond 64 bits are held at their ends.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS = 32
-#: Rows from which the pivots are picked.
-PIVOT_SAMPLE = 512
+PIVOTS = 64
+#: Rows from which the pivots are picked, and that give the first bar.
+PIVOT_SAMPLE = 2048
 #: Vectors of a block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Candidates that are evaluated at once.
 STEP = 256
-_BLOCKS = "dim int, ids binary, vectors binary, bounds binary"
+#: Query blocks whose best scores a task holds.
+HELD = 64
+_BLOCKS = "dim int, ids binary, numbers binary, vectors binary, bounds binary"
 _SAFE = 1 << 26
 
 
@@ -62,25 +72,42 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact], np.int64)
 
 
-def best_of(query_ids, queries, query_bounds, ids, rows, bounds, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query: the ids and scores of its k best rows of one block."""
+def ranked(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The order by falling score, then by id."""
+    exact = -scores.astype(np.float64) if (np.abs(scores) < 1 << 53).all() else np.array([-int(x) for x in scores], object)
+    return np.lexsort((ids, exact))
+
+
+def first_bars(queries: np.ndarray, sample: np.ndarray, most: int) -> np.ndarray:
+    """Each query's most-th best score among the sample, which the whole table's can't be below."""
+    if len(sample) < most:
+        return np.full(len(queries), -np.inf)
+    return np.array([float(np.partition(products(q, sample), len(sample) - most)[len(sample) - most]) for q in queries]) - 0.5
+
+
+def best_of(q_ids, queries, q_bounds, ids, rows, bounds, most: int, bars) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each query: ids and scores of its best rows of one block, whether they equal the query and its id, and how many were evaluated.
+
+    Rows that can't come up to the query's bar are left out.
+    """
     norms = (rows * rows).sum(axis=1)
-    for qid, q, qb in zip(query_ids, queries, query_bounds, strict=True):
+    for qid, q, qb, bar in zip(q_ids, queries, q_bounds, bars, strict=True):
         apart = np.abs(bounds - qb).max(axis=1, initial=0.0)
         apart *= 1 - 1e-9  # rounding must not raise a lower bound
         limit = (norms + (q * q).sum() - apart * apart) / 2
         limit += 0.5 + np.abs(limit) * 1e-9
-        order = np.argsort(-limit, kind="stable")
-        order = order[ids[order] != qid]
-        got_ids, got = np.empty(0, np.int64), np.empty(0, np.int64)
+        order = np.flatnonzero(limit >= bar)
+        order = order[np.argsort(-limit[order], kind="stable")]
+        at, got, evaluated = np.empty(0, np.int64), np.empty(0, np.int64), 0
         for start in range(0, len(order), STEP):
-            if len(got) == k and limit[order[start]] < got[-1]:
+            if len(got) == most and limit[order[start]] < got[-1]:
                 break
             some = order[start : start + STEP]
-            got_ids, got = np.concatenate([got_ids, ids[some]]), np.concatenate([got, products(q, rows[some])])
-            top = np.lexsort((got_ids, -got.astype(np.float64) if (np.abs(got) < 1 << 53).all() else np.array([-int(x) for x in got], object)))[:k]
-            got_ids, got = got_ids[top], got[top]
-        yield qid, got_ids, got
+            evaluated += len(some)
+            at, got = np.concatenate([at, some]), np.concatenate([got, products(q, rows[some])])
+            top = ranked(ids[at], got)[:most]
+            at, got = at[top], got[top]
+        yield ids[at], got, (ids[at] == qid) & (rows[at] == q).all(axis=1), evaluated
 
 
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -89,29 +116,31 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
     Query blocks meet every slot of candidate blocks in an equi-join; a pair of blocks
     leaves k rows a query, and the best of them are ranked per query.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("q"))
+    number = F.monotonically_increasing_id()  # of the scan, so that it is the same when a task runs again
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("q"), number.alias("number")).where("id IS NOT NULL AND v IS NOT NULL")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").toArrow()["v"].combine_chunks()
     by_length: dict[int, list[np.ndarray]] = {}
     for v in integers(sample, scale):
         if v is not None:
             by_length.setdefault(len(v), []).append(v)
-    pivots = {n: pivots_of(v, PIVOTS) for n, v in by_length.items() if n}
+    known = vectors.sparkSession.sparkContext.broadcast({n: (pivots_of(v, PIVOTS), np.array(v)) for n, v in by_length.items() if n})  # PIVOT_SAMPLE rows at most
 
     def blocks(size: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[tuple[int, np.ndarray]]] = {}
+            held: dict[int, list[tuple[int, int, np.ndarray]]] = {}
 
             def packed(n: int) -> pa.RecordBatch:
                 part, held[n] = held[n], []
-                x = np.array([v for _, v in part]).reshape(len(part), n)
-                p = pivots.get(n, np.empty((0, n)))
+                x = np.array([v for *_, v in part]).reshape(len(part), n)
+                p = known.value[n][0] if n in known.value else np.empty((0, n))
                 far = np.stack([np.linalg.norm(x - r, axis=1) for r in p], axis=1) if len(p) else np.empty((len(x), 0))
-                return pa.RecordBatch.from_pylist([{"dim": n, "ids": np.array([i for i, _ in part], np.int64).tobytes(), "vectors": x.tobytes(), "bounds": far.tobytes()}], schema=pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("bounds", pa.binary())]))
+                ids, numbers = (np.array([r[k] for r in part], np.int64).tobytes() for k in (0, 1))
+                return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([b], pa.binary()) for b in (ids, numbers, x.tobytes(), far.tobytes()))], ["dim", "ids", "numbers", "vectors", "bounds"])
 
             for b in batches:
-                for i, v in zip(b.column(0).to_pylist(), integers(b.column(1), scale), strict=True):
+                for i, number, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), integers(b.column(1), scale), strict=True):
                     if v is not None:
-                        held.setdefault(len(v), []).append((i, v))
+                        held.setdefault(len(v), []).append((i, number, v))
                         if len(held[len(v)]) == size:
                             yield packed(len(v))
             for n in [n for n in held if held[n]]:
@@ -120,21 +149,39 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
         return run
 
     totals = rows.agg(F.count("*"), F.count_if("q")).first()
-    slots, asked = max(1, math.ceil(totals[0] / (4 * BLOCK))), rows.where("q").select("id", "v")
-    candidates = rows.select("id", "v").mapInArrow(blocks(BLOCK), _BLOCKS).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    asked = asked.repartition(max(1, math.ceil(totals[1] / QUERY_BLOCK))).mapInArrow(blocks(QUERY_BLOCK), _BLOCKS)
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("bounds").alias("q_bounds"))
-    pairs = candidates.join(asked, ["slot", "dim"]).select("dim", "ids", "vectors", "bounds", "q_ids", "q_vectors", "q_bounds")
+    slots = max(1, math.ceil(totals[0] / (4 * BLOCK)))
+    candidates = rows.select("id", "v", "number").mapInArrow(blocks(BLOCK), _BLOCKS).withColumn("slot", F.pmod(F.xxhash64("ids", "numbers"), F.lit(slots)).cast("int"))
+    asked = rows.where("q").select("id", "v", "number").repartition(max(1, math.ceil(totals[1] / QUERY_BLOCK))).mapInArrow(blocks(QUERY_BLOCK), _BLOCKS)
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("dim"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "numbers", "vectors", "bounds")))
+    pairs = candidates.join(asked, ["slot", "dim"]).select("dim", "ids", "vectors", "bounds", "q_ids", "q_numbers", "q_vectors", "q_bounds")
+    most = k + 1  # a query's own row among them
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: OrderedDict[bytes, list[np.ndarray]] = OrderedDict()  # of some query blocks: each query's best scores so far
         for b in batches:
             for n in range(b.num_rows):
                 dim, *raw = (c[n].as_py() for c in b.columns)
-                ids, x, bounds, q_ids, q, q_bounds = (np.frombuffer(r, t) for r, t in zip(raw, (np.int64, np.float64, np.float64) * 2, strict=True))
+                ids, x, bounds, q_ids, numbers, q, q_bounds = (np.frombuffer(r, t) for r, t in zip(raw, (np.int64, np.float64, np.float64, np.int64, np.int64, np.float64, np.float64), strict=True))
                 x, q, bounds, q_bounds = x.reshape(len(ids), dim), q.reshape(len(q_ids), dim), bounds.reshape(len(ids), -1), q_bounds.reshape(len(q_ids), -1)
-                found = [(np.full(len(i), qid), i, s) for qid, i, s in best_of(q_ids, q, q_bounds, ids, x, bounds, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if raw[4] in best:
+                    scores = best[raw[4]]
+                    bars = [s[-1] if len(s) == most else -np.inf for s in scores]
+                    best.move_to_end(raw[4])
+                else:
+                    scores = [np.empty(0, np.int64)] * len(q)
+                    bars = first_bars(q, known.value[dim][1], most) if dim in known.value else np.full(len(q), -np.inf)
+                    if len(best) == HELD:
+                        best.popitem(last=False)
+                found = list(best_of(q_ids, q, q_bounds, ids, x, bounds, most, bars))
+                best[raw[4]] = [np.sort(np.concatenate([s, f[1]]))[::-1][:most] for s, f in zip(scores, found, strict=True)]
+                sizes = [len(f[0]) for f in found]
+                columns = [np.repeat(numbers, sizes), np.repeat(q_ids, sizes), *(np.concatenate(c) for c in list(zip(*found, strict=True))[:3])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["number", "query_id", "vec_id", "score", "own"])
+
+    found = pairs.mapInArrow(search, "number long, query_id long, vec_id long, score long, own boolean")
+    own = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    found = found.withColumn("place", F.row_number().over(own)).where(F.col("place") <= most)
+    # one row that equals the query, its own, takes no place
+    before = F.coalesce(F.max(F.col("own").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.withColumn("before", before).where("before = 1 OR NOT own")
+    return found.select("query_id", (F.col("place") - F.col("before")).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -117,6 +117,15 @@ def test_vectors(spark):
     assert not [r for r in out if r.query_id == 200] and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_repeated_vectors(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.5, 0.0]), (1, [0.25, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted(tuple(r) for r in topk.top_k(df, F.pmod("vec_id", F.lit(100)) == 0).collect())
+    one, half, quarter = 1 << 20, 1 << 19, 1 << 18
+    a = [(100, 1, 100, one), (100, 2, 100, half), (100, 3, 1, quarter)]
+    assert out == sorted([*a, *a, (100, 1, 100, half), (100, 2, 100, half), (100, 3, 1, quarter // 2)])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (70, 70), (60, 55)], "a long, b long")
     out = {r.id: r.component for r in components.components(links, Scratch(spark, "t")).collect()}

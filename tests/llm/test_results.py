@@ -3,11 +3,12 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from comparing import DATA, duck, spark_rows
-from pageloom.llm import counts, decontam, langid, linedup, neardup, queries
+from pageloom.llm import counts, decontam, langid, linedup, neardup, queries, topk
 
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -98,6 +99,24 @@ def test_index_finds_what_a_scan_finds():
             assert (n[k], {x for a, b in spans[k] for x in range(a, b)}, found[k]) == (len(own), hit, sorted(names))
 
 
+def test_bounds_eliminate_candidates_of_clusters():
+    """The share that is evaluated, and the same result as without bounds."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    rows = np.floor(1024 * (centres[rng.integers(0, 40, 4000)] + rng.normal(scale=0.05, size=(4000, 32))))
+    pivots, ids = topk.pivots_of(list(rows[:400]), 40), np.arange(4000)
+    bounds = np.stack([np.linalg.norm(rows - p, axis=1) for p in pivots], axis=1)
+    q = slice(0, 4000, 100)
+    found = list(topk.best_of(ids[q], rows[q], bounds[q], ids, rows, bounds, 11, topk.first_bars(rows[q], rows[:400], 11)))
+    for k, (got, scores, own, _) in enumerate(found):
+        all_ = (rows @ rows[100 * k]).astype(np.int64)
+        best = np.lexsort((ids, -all_))[:11]
+        assert got.tolist() == best.tolist() and scores.tolist() == all_[best].tolist() and own.sum() <= 1
+    share = sum(f[3] for f in found) / (len(found) * 4000)
+    print("evaluated", share)
+    assert share < 0.25
+
+
 def shingles(t):
     w = t.lower().split()
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
