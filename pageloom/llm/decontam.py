@@ -25,14 +25,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import as_bytes, release, runs
+from pageloom.llm.common import as_bytes, fresh, release, runs
 
 #: Words of a phrase; a shorter item is one phrase.
 WINDOW = 8
 #: Bytes of text that make a shard; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
-#: A benchmark goes to the tasks in blocks of so many bytes of text, one pass over the documents each.
-BLOCK_BYTES = 64 << 20
+#: A benchmark goes to the tasks in blocks of so many bytes of text, one pass over the documents each. The arrays of a
+#: block's phrases, made once by the driver, take about ten times as much.
+BLOCK_BYTES = 8 << 20
 #: Every so many positions of a suffix are kept.
 SAMPLE = 8
 #: Occurrences that are located at once.
@@ -48,22 +49,42 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """The different windows of a benchmark block as number sequences, and the items that hold each."""
+    """The different windows of a benchmark block as arrays of word numbers, by length, and the items that hold each."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
         self.ids = sorted({str(i) for i, _ in items})
         number = {i: n for n, i in enumerate(self.ids)}
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            seq = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            m = min(window, len(seq))
-            for k in range(len(seq) - m + 1 if m else 0):
-                found.setdefault(tuple(seq[k : k + m]), set()).add(number[str(item)])
-        self.windows = sorted(found, key=lambda w: (len(w), w))
-        self.items = [np.array(sorted(found[w]), np.int64) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.lengths.min()) if self.windows else 0
+            words = words_of(text)
+            if m := min(window, len(words)):
+                seq = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)
+                parts.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(seq, m), number[str(item)]))
+        self.shortest = min(parts, default=0)
+        #: length of the windows, number of the first one, the windows
+        self.groups: list[tuple[int, int, np.ndarray]] = []
+        lengths, holders, first = [], [], 0
+        for m, own in sorted(parts.items()):
+            flat = np.ascontiguousarray(np.concatenate([w for w, _ in own]))
+            holder = np.repeat(np.array([i for _, i in own], np.int64), [len(w) for w, _ in own])
+            _, at, which = np.unique(flat.view([("", np.int32)] * m).ravel(), return_index=True, return_inverse=True)
+            self.groups.append((m, first, flat[at]))
+            lengths.append(np.full(len(at), m, np.int64))
+            holders.append(np.unique((which.ravel() + first) * len(self.ids) + holder))
+            first += len(at)
+        held = np.concatenate([np.empty(0, np.int64), *holders])
+        self.lengths = np.concatenate([np.empty(0, np.int64), *lengths])
+        #: the items of window w are held[starts[w] : starts[w + 1]]
+        self.starts = np.searchsorted(held, np.arange(first + 1) * len(self.ids))
+        self.held = (held % max(1, len(self.ids))).astype(np.int32)
+
+    def items_of(self, docs: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of document and item, from pairs of document and window."""
+        n = self.starts[windows + 1] - self.starts[windows]
+        at = np.arange(n.sum()) + np.repeat(self.starts[windows] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n)
+        both = np.unique(np.repeat(docs, n) * max(1, len(self.ids)) + self.held[at])
+        return both // max(1, len(self.ids)), both % max(1, len(self.ids))
 
 
 class WaveletMatrix:
@@ -154,7 +175,7 @@ class FmIndex:
 
 def occurrences(sequence: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window numbers, positions) of all occurrences in a shard's sequence, in which 0 separates."""
-    if not phrases.windows or not len(sequence):
+    if not phrases.groups or not len(sequence):
         return
     known = np.concatenate([[0], (sequence != 0).view(np.int8), [0]])
     starts, ends = np.flatnonzero(np.diff(known) == 1), np.flatnonzero(np.diff(known) == -1)
@@ -167,11 +188,10 @@ def occurrences(sequence: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.nda
     symbols = np.append(sequence, 0)[place]
     symbols[np.cumsum(sizes) - 1] = 0
     index = FmIndex(symbols, len(phrases.vocabulary))
-    for m in np.unique(phrases.lengths):
-        which = np.flatnonzero(phrases.lengths == m)
-        low, high = index.search(np.array([phrases.windows[w] for w in which], np.int64))
+    for _, first, windows in phrases.groups:
+        low, high = index.search(windows.astype(np.int64))
         hit = np.flatnonzero(high > low)
-        which, low, size = which[hit], low[hit], (high - low)[hit]
+        which, low, size = hit + first, low[hit], (high - low)[hit]
         total = np.concatenate([[0], np.cumsum(size)])
         for start in range(0, int(total[-1]), LOCATE):
             nth = np.arange(start, min(start + LOCATE, int(total[-1])))
@@ -189,22 +209,23 @@ def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int]
         parts.append(np.array([get(w, 0) for w in words] + [0], np.int64))
     sequence = np.concatenate(parts)
     doc_start = np.concatenate([[0], np.cumsum([n + 1 for n in sizes])])
-    cover, pairs = np.zeros(len(sequence) + 1, np.int32), []
+    cover, pairs = np.zeros(len(sequence) + 1, np.int32), [np.empty(0, np.int64)]
     for window, position in occurrences(sequence, phrases):
         np.add.at(cover, position, 1)
         np.add.at(cover, position + phrases.lengths[window], -1)
         doc = np.searchsorted(doc_start, position, side="right") - 1
-        both = np.unique(doc * len(phrases.windows) + window)
-        pairs += [(int(x // len(phrases.windows)), i) for x in both for i in phrases.items[x % len(phrases.windows)]]
+        pairs.append(np.unique(doc * len(phrases.lengths) + window))
     edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).view(np.int8)]))
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
         d = int(np.searchsorted(doc_start, a, side="right")) - 1
         spans[d].append((a - int(doc_start[d]), b - int(doc_start[d])))
-    items: list[set[str]] = [set() for _ in texts]
-    for d, i in pairs:
-        items[d].add(phrases.ids[i])
-    return sizes, spans, [sorted(x) for x in items]
+    both = np.unique(np.concatenate(pairs))
+    items: list[list[str]] = [[] for _ in texts]
+    if len(both):
+        for d, i in zip(*(x.tolist() for x in phrases.items_of(both // len(phrases.lengths), both % len(phrases.lengths))), strict=True):
+            items[d].append(phrases.ids[i])  # in the order of the ids, which are sorted
+    return sizes, spans, items
 
 
 def byte_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -228,38 +249,50 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, drop_text: bool = False) -> DataFrame:
-    """The rows with __n_words, __spans (merged, in words) and __items, without any shuffle.
+    """The rows with their number of words, spans (merged, in words) and items, named by names_added, without any shuffle.
 
     Each block of the benchmark is one narrow pass over the rows, which adds to the
     columns of the pass before; a benchmark under BLOCK_BYTES is one block.
     """
-    blocks = list(benchmark_blocks(benchmark, item_col, item_text_col))
-    for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_BYTES and one text
-        names = [c for c in docs.columns if c not in ADDED and not (drop_text and k == len(blocks) - 1 and c == text_col)]
+    added = names_added(docs.columns)
+    for first, last, block in marked(benchmark_blocks(benchmark, item_col, item_text_col)):
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))  # the phrases of BLOCK_BYTES and one text at most
+        names = [c for c in docs.columns if c not in added and not (drop_text and last and c == text_col)]
         at = docs.columns.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names, at=at, first=not k) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, window)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names, at=at, first=first) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 data = whole.column(at).cast(pa.binary())
                 for i, j in runs(pa.compute.fill_null(pa.compute.binary_length(data), 0).to_pylist(), SHARD_BYTES):
                     b = whole.slice(i, j - i)
-                    n, spans, items = search_shard(data.slice(i, j - i).to_pylist(), phrases)
+                    n, spans, items = search_shard(data.slice(i, j - i).to_pylist(), shared.value)
                     if not first:
-                        before = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ADDED[1:]]
+                        before = [b.column(b.schema.get_field_index(c)).to_pylist() for c in added[1:]]
                         spans = [merge_spans(s + [(x["start"], x["end"]) for x in old]) for s, old in zip(spans, before[0], strict=True)]
                         items = [sorted({*x, *old}) for x, old in zip(items, before[1], strict=True)]
-                    added = [pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], SPANS), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *added], [*names, *ADDED])
+                    more = [pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], SPANS), pa.array(items, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *more], [*names, *added])
             release()
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-        docs = docs.mapInArrow(run, f"{kinds}{', ' if kinds else ''}__n_words long, __spans array<struct<start:int,end:int>>, __items array<string>")
+        docs = docs.mapInArrow(run, f"{kinds}{', ' if kinds else ''}`{added[0]}` long, `{added[1]}` array<struct<start:int,end:int>>, `{added[2]}` array<string>")
     return docs
 
 
-ADDED = ("__n_words", "__spans", "__items")
+def marked(blocks: Iterator) -> Iterator[tuple[bool, bool, list]]:
+    """The blocks, of which two are held at once, with whether each is the first and the last."""
+    first, before = True, next(blocks)
+    for block in blocks:
+        yield first, False, before
+        first, before = False, block
+    yield first, True, before
+
+
+def names_added(columns: list[str]) -> tuple[str, str, str]:
+    """Names for the number of words, the spans and the items that no column has."""
+    return tuple(fresh(c, columns) for c in ("n_words", "spans", "items"))
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -276,7 +309,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_words, spans of hit words (array<struct<start, end>>, in words), items array<string>."""
     out = annotate(as_bytes(docs, id_col, text_col), benchmark, drop_text=True, **options)
-    return out.select(F.col("id").alias(id_col), F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+    return out.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -294,13 +327,14 @@ def excise(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", con
     A document in which at least `contaminated` items occur goes; in others the hit
     spans are cut out of the text. Documents without a hit stay unchanged.
     """
-    found = annotate(docs, benchmark, text_col=text_col, **options).where(F.size("__items") < contaminated)
+    words, spans_col, items = names_added(docs.columns)
+    found = annotate(docs, benchmark, text_col=text_col, **options).where(F.size(items) < contaminated)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = [b.column(b.schema.get_field_index(c)) for c in names]
-            spans = b.column(b.schema.get_field_index("__spans")).to_pylist()
+            spans = b.column(b.schema.get_field_index(spans_col)).to_pylist()
             if any(spans):
                 texts = columns[at].cast(pa.binary()).to_pylist()
                 texts = [cut_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)]
@@ -308,7 +342,7 @@ def excise(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", con
             yield pa.RecordBatch.from_arrays(columns, names)
         release()
 
-    return found.drop("__n_words", "__items").mapInArrow(run, docs.schema)
+    return found.drop(words, items).mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import as_bytes, release, slices
+from pageloom.llm.common import Scratch, as_bytes, release, slices
 
-#: Labelled rows of each language from which the centroids are learned, about.
-SAMPLE_ROWS = 400
-#: Languages with the most rows that are learned at most.
-LANGUAGES = 500
+#: Labelled rows of each language from which the centroids are learned, about; fewer if all languages together would
+#: have more than ALL_ROWS, but LEAST_ROWS in any case. A row is at most 6 bytes for each bucket and start.
+SAMPLE_ROWS, ALL_ROWS, LEAST_ROWS = 400, 20_000, 20
+#: Languages up to which their sizes are broadcast.
+MANY = 100_000
 CENTROIDS = 4
 BUCKETS = 1 << 13
 ROUNDS = 12
@@ -53,6 +54,18 @@ def counts_of(text: str) -> np.ndarray:
     return np.bincount(mixed >> np.uint32(19), minlength=BUCKETS)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Buckets that occur and how often: of bounded size for a text of any length."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, out = len(data) // 6, np.zeros(BUCKETS, np.float32)
+    out[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data[2 * n :], np.uint32)
+    return out
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -72,20 +85,21 @@ def clusters(rows: np.ndarray, k: int) -> np.ndarray:
 class Model:
     """Bucket weights, centroids and the least cosines of each language, by length."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
+    def __init__(self, rows: list[tuple[str, list[bytes]]]):
+        """rows: the language and the packed counts of the whole text and of each start that is shorter."""
         self.languages = sorted({lang for lang, _ in rows})
         if not rows:
             return
-        counts = np.array([counts_of(t) for _, t in rows], np.float32)
+        counts = np.array([unpacked(t[0]) for _, t in rows])
         self.idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
         vectors, centroids, owner, least = self.vectors(counts), [], [], []
+        of = np.array([lang for lang, _ in rows])
         for n, lang in enumerate(self.languages):
-            own = vectors[[x == lang for x, _ in rows]]
-            c = clusters(own, CENTROIDS)
+            c = clusters(vectors[of == lang], CENTROIDS)
             centroids.append(c)
             owner += [n] * len(c)
-            starts = [[t[:size] for x, t in rows if x == lang and len(t) >= size] for size in STARTS]
-            least.append([LEAST] + [self.limit(np.array([counts_of(t) for t in texts], np.float32), c) if texts else LEAST for texts in starts])
+            starts = [[unpacked(t[k]) for x, t in rows if x == lang and len(t) > k] for k in range(1, len(STARTS) + 1)]
+            least.append([LEAST] + [self.limit(np.array(texts), c) if texts else LEAST for texts in starts])
         self.centroids, self.owner, self.least = np.concatenate(centroids), np.array(owner), np.array(least)
 
     def limit(self, counts: np.ndarray, centroids: np.ndarray) -> float:
@@ -117,21 +131,33 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_ROWS) -> Model:
     """Learn from about `per_language` rows of each language, chosen by the hash of their ids."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    scratch = Scratch(docs.sparkSession, "langid")
+    sizes = scratch.keep(known.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")), "sizes")
+    languages = sizes.count()
+    if not languages:
         return Model([])
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)).where(F.col(text_col).isNotNull())
-    rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"), F.col(id_col).alias("i")).collect()
-    rows = sorted((r["lang"], r["i"], bytes(r["t"]).decode("utf-8", "replace")) for r in rows)
-    return Model([(lang, t) for lang, _, t in rows if _ANY_LETTER.search(t)])
+    wanted = min(per_language, max(LEAST_ROWS, ALL_ROWS // languages))
+    chosen = known.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("t"), F.col(id_col).alias("i")).where("t IS NOT NULL")
+    chosen = chosen.join(F.broadcast(sizes) if languages <= MANY else sizes, F.col("lang") == F.col("l"))
+    chosen = chosen.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < F.lit(float(wanted)) / F.col("n") * (1 << 30)).select("lang", "i", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                text = b.column(2)[k].as_py().decode("utf-8", "replace")
+                if _ANY_LETTER.search(text):
+                    parts = [text, *(text[:size] for size in STARTS if len(text) >= size)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1).cast(pa.int64()), pa.array([[packed(counts_of(t)) for t in parts]], pa.list_(pa.binary()))], ["lang", "i", "parts"])
+
+    rows = chosen.mapInArrow(run, "lang string, i long, parts array<binary>").collect()  # about SAMPLE_ROWS of each language
+    scratch.drop(sizes)
+    rows = sorted((r["lang"], r["i"], [bytes(x) for x in r["parts"]]) for r in rows)
+    return Model([(lang, parts) for lang, _, parts in rows])
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, lang_pred, score (cosine of the nearest centroid), rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES * CENTROIDS * BUCKETS floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS * BUCKETS floats for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data in slices(batches, 1 << 20):

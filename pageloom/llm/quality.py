@@ -6,8 +6,11 @@ host is shrunk towards the global share, that of a path towards its host's, with
 strengths estimated from how much hosts, and paths within hosts, differ. A site with
 few labels so has its parent's share. Evidence and prior add as log odds.
 
+A document's own labels have no part in its own prior, which else would tell what it is
+to predict.
+
 Labels beyond 0 and 1, and labels of unknown documents, are ignored; several labels of
-one document all count. Without labels of both kinds the classifier has no evidence to
+one document count with their mean for the classifier, and all for the sites. Without labels of both kinds the classifier has no evidence to
 give. Null hosts and paths are sites of their own. Null texts and texts without a
 word have score 0 and are not kept. Every row gives one row.
 """
@@ -115,16 +118,22 @@ def measured(texts: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = SAMPLE_ROWS) -> Classifier:
     """Learn from about `most` labelled rows, chosen by the hash of their ids."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("good"))
+    known = labelled(labels, id_col, label_col).select("id", (F.col("k") / F.col("n")).alias("good"))
     share = min(1.0, most / max(1, known.count()))
-    some = F.broadcast(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)))  # about `most` rows
+    some = F.broadcast(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)))  # about `most` rows, one for each id
     texts = as_bytes(docs, id_col, text_col).where("text IS NOT NULL")
-    rows = measured(texts.join(some, "id", "left_semi")).join(some, "id").toPandas().sort_values(["id", "good"])
+    rows = measured(texts.join(some, "id", "left_semi")).groupBy("id").agg(F.min("x").alias("x")).join(some, "id").toPandas().sort_values("id")
     if rows.empty:
         return Classifier(np.empty((0, len(FEATURES))), np.empty(0))
     return Classifier(np.array(rows["x"].tolist()), rows["good"].to_numpy().astype(float))
 
 
+def labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """id, n (its labels), k (those that say good); one row for each id."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    return known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"), F.sum(F.col(label_col).cast("long")).alias("k"))
+
+
 def log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -140,26 +149,31 @@ def strength(rows: DataFrame, parent: str) -> float:
     return float(np.clip(r["total"] / r["n"] / max(spread, 1e-12) - 1, *STRENGTH))
 
 
-def site_priors(sites: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, path, n, k to host, path, host_share, path_share: posteriors from grouped label counts."""
+def site_priors(sites: DataFrame, scratch: Scratch) -> tuple[DataFrame, float, float, float]:
+    """host, path, path_n, path_k, host_n, host_k of sites (host, path, n, k); the global share and the strengths of hosts and paths."""
     total = sites.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    share = F.lit(((total["k"] or 0) + 1) / ((total["n"] or 0) + 2))
-    hosts = scratch.keep(sites.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("share", share), "hosts")
+    share = ((total["k"] or 0) + 1) / ((total["n"] or 0) + 2)
+    hosts = scratch.keep(sites.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("share", F.lit(share)), "hosts")
     a = strength(hosts, "share")
-    hosts = hosts.select("host", ((F.col("k") + a * F.col("share")) / (F.col("n") + a)).alias("host_share"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("k").alias("host_k"), shrunk(F.col("k"), F.col("n"), a, F.lit(share)).alias("host_share"))
     paths = scratch.keep(sites.join(hosts, sites["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]), "paths")
     b = strength(paths, "host_share")
-    return scratch.keep(paths.select("host", "path", "host_share", ((F.col("k") + b * F.col("host_share")) / (F.col("n") + b)).alias("path_share")), "sites")
+    return paths.select("host", "path", F.col("n").alias("path_n"), F.col("k").alias("path_k"), "host_n", "host_k"), share, a, b
+
+
+def shrunk(k: Column, n: Column, strength: float, parent: Column) -> Column:
+    """The posterior share of k good labels of n, with a prior of the parent's share that counts as `strength` labels."""
+    return (k + strength * parent) / (n + strength)
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
     """id, evidence, host_share, path_share, score (probability of good), kept (score of at least `least`)."""
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    known = scratch.keep(labelled(labels, id_col, label_col), "labelled")
     places = docs.select(F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("good"))
-    counts = places.join(known, "id", "left").groupBy("host", "path").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    sites = site_priors(scratch.keep(counts, "counts"), scratch)
+    counts = places.join(known, "id", "left").groupBy("host", "path").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    sites, share, a, b = site_priors(scratch.keep(counts, "counts"), scratch)
     columns = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +186,10 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *, id_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(e, pa.float64())], ["id", "host", "path", "evidence"])
 
     rows = columns.mapInArrow(run, "id long, host string, path string, evidence double")
-    out = rows.join(sites, rows["host"].eqNullSafe(sites["host"]) & rows["path"].eqNullSafe(sites["path"]), "left")
+    out = rows.join(sites, rows["host"].eqNullSafe(sites["host"]) & rows["path"].eqNullSafe(sites["path"]), "left").join(known, "id", "left")
+    n, k = F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))  # the document's own labels, left out
+    out = out.select("id", "evidence", n.alias("n"), k.alias("k"), "path_n", "path_k", shrunk(F.col("host_k") - k, F.col("host_n") - n, a, F.lit(share)).alias("host_share"))
+    out = out.withColumn("path_share", shrunk(F.col("path_k") - F.col("k"), F.col("path_n") - F.col("n"), b, F.col("host_share")))
     odds = F.col("evidence") + log_odds(F.col("path_share"))
     p = F.coalesce(1 / (1 + F.exp(-odds)), F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), "evidence", "host_share", "path_share", p.alias("score"), (p >= least).alias("kept"))
+    return scratch.done(out.select(F.col("id").alias(id_col), "evidence", "host_share", "path_share", p.alias("score"), (p >= least).alias("kept")))

@@ -25,7 +25,7 @@ def odd(spark):
         (None, prose, "en", "s", 1), (7, LONG, "en", "s", 1), (8, "é 中文 🦜 <s> <|endoftext|>", "fr", "t", 1), (9, "12 34 !!", "de", "t", 1), (10, "one two", "de", "t", 1), (11, "one two", "de", "t", 1),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("id", "n", "key", "kept", "group", "__row", "m", "e", "start", "spans", "line", "lid", "host", "path", "score", "license", "x", "n_words"))])
+    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("gone", "items", "spans_", "id", "n", "key", "kept", "group", "__row", "m", "e", "start", "spans", "line", "lid", "host", "path", "score", "license", "x", "n_words"))])
 
 
 @pytest.fixture(scope="module")
@@ -98,6 +98,8 @@ def test_languages(odd):
     out = {r.doc_id: r for r in langid.predict(odd, langid.fit(odd)).collect()}
     assert all(out[k].lang_pred == "und" and out[k].score == 0 and out[k].rejected for k in (4, 5, 6, 9))
     assert langid.predict(odd, langid.Model([])).where("lang_pred <> 'und'").count() == 0
+    kept = langid.accept(odd, langid.fit(odd))
+    assert kept.columns == odd.columns and 4 not in {r.doc_id for r in kept.collect()} and langid.accept(odd.limit(0), langid.fit(odd.limit(0))).count() == 0
 
 
 def test_tokens(odd):
@@ -126,6 +128,16 @@ def test_repeated_vectors(spark):
     assert out == sorted([*a, *a, (100, 1, 100, half), (100, 2, 100, half), (100, 3, 1, quarter // 2)])
 
 
+def test_pipeline_of_odd_and_no_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    for name, df in (("odd", odd), ("none", odd.limit(0))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (out.count() > 0) == (name == "odd")
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (70, 70), (60, 55)], "a long, b long")
     out = {r.id: r.component for r in components.components(links, Scratch(spark, "t")).collect()}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from comparing import DATA, duck, spark_rows
-from pageloom.llm import counts, decontam, langid, linedup, neardup, queries, topk
+from pageloom.llm import counts, decontam, langid, linedup, neardup, quality, queries, topk
 
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
@@ -72,10 +72,50 @@ def test_languages_that_were_not_learned_are_rejected(spark):
 
 
 @tables
-def test_quality_of_labelled_rows(spark):
-    labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    out = queries.op1_quality_classifier(spark, DATA).join(labels, "doc_id")
-    assert out.where(F.col("kept") == (F.col("quality") == 1)).count() >= 0.9 * out.count()
+def test_quality_of_held_out_labels(spark):
+    """Half of the labels teach, the other half is held against."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    teach = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    out = quality.score(docs, labels.where(teach), F.col("source"), F.col("lang")).join(labels.where(~teach), "doc_id")
+    assert out.count() >= 20 and out.where(F.col("kept") == (F.col("quality") == 1)).count() >= 0.8 * out.count()
+
+
+def test_posteriors_of_sparse_sites_against_brute_force(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(300):
+        host = f"h{int(rng.paretovariate(0.8)) % 40}"
+        docs.append((i, " ".join(rng.choice("abcdefg") * rng.randrange(1, 9) for _ in range(20)), host, None if i % 11 == 0 else f"/{rng.randrange(3)}"))
+        labels += [(i, int(rng.random() < (0.8 if host < "h2" else 0.3)), 0) for _ in range(rng.choice([0, 1, 1, 2]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    out = {r.doc_id: r for r in quality.score(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("host"), F.col("path")).collect()}
+    own = {i: [g for j, g, _ in labels if j == i] for i, *_ in docs}
+
+    def sums(key):
+        out = {}
+        for d in docs:
+            n, k = out.get(key(d), (0, 0))
+            out[key(d)] = (n + len(own[d[0]]), k + sum(own[d[0]]))
+        return out
+
+    def strength(rows):
+        rows = [(n, k, p) for n, k, p in rows if n]
+        total = sum(n for n, _, _ in rows)
+        between, noise = sum(n * (k / n - p) ** 2 for n, k, p in rows), sum(p * (1 - p) for *_, p in rows)
+        spread = max(0.0, (between - noise) / total)
+        return min(max(sum(n * p * (1 - p) for n, _, p in rows) / total / max(spread, 1e-12) - 1, quality.STRENGTH[0]), quality.STRENGTH[1])
+
+    hosts, paths = sums(lambda d: d[2]), sums(lambda d: d[2:])
+    share = (sum(k for _, k in hosts.values()) + 1) / (sum(n for n, _ in hosts.values()) + 2)
+    a = strength([(n, k, share) for n, k in hosts.values()])
+    parent = {h: (k + a * share) / (n + a) for h, (n, k) in hosts.items()}
+    b = strength([(n, k, parent[h]) for (h, _), (n, k) in paths.items()])
+    assert len(paths) > 50
+    for i, _, h, p in docs:
+        n, k = len(own[i]), sum(own[i])
+        host = (hosts[h][1] - k + a * share) / (hosts[h][0] - n + a)
+        assert out[i].host_share == pytest.approx(host) and out[i].path_share == pytest.approx((paths[h, p][1] - k + b * host) / (paths[h, p][0] - n + b))
+        assert out[i].score == pytest.approx(1 / (1 + np.exp(-out[i].evidence) * (1 - out[i].path_share) / out[i].path_share))
 
 
 def test_index_finds_what_a_scan_finds():
