@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,17 +60,17 @@ class Codec:
 
     made: dict[tuple, Codec] = {}
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str):
         import regex
 
-        self.pattern, self.ranks, self.memo = regex.compile(pattern), ranks, {}
+        self.pattern, self.ranks, self.merges, self.memo = regex.compile(pattern), ranks, merges, {}
         self.bytes_of: dict[int, bytes] = {i: t for t, i in ranks.items()}
         self.letters, self._model = dict(enumerate(byte_letters())), None
 
     @classmethod
-    def of(cls, ranks: dict[bytes, int], pattern: str, key: str) -> Codec:
+    def of(cls, tables: Broadcast, pattern: str, key: str) -> Codec:
         if (key, pattern) not in cls.made:
-            cls.made[key, pattern] = cls(ranks, pattern)
+            cls.made[key, pattern] = cls(*tables.value, pattern)
         return cls.made[key, pattern]
 
     @property
@@ -79,7 +80,7 @@ class Codec:
             from tokenizers import Tokenizer, models, pre_tokenizers
 
             vocab = {self.spell(t): i for t, i in self.ranks.items()}
-            merges = [(self.spell(a), self.spell(b)) for a, b in merges_of(self.ranks)]
+            merges = [(self.spell(a), self.spell(b)) for a, b in self.merges]
             self._model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
             self._model.pre_tokenizer = pre_tokenizers.Split("\n", "removed")  # no byte is spelled as a line end
         return self._model
@@ -107,8 +108,9 @@ class Codec:
         get = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in split]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int]) -> bytes | None:
+        parts = list(map(self.bytes_of.get, ids))
+        return None if None in parts else b"".join(parts)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's first and last character plus 1; tokens of a split character share it."""
@@ -119,6 +121,12 @@ class Codec:
         return at[starts], at[ends - 1] + 1
 
 
+def tables_of(df: DataFrame, ranks_path: str, merges: bool) -> Broadcast:
+    """The ranks and, for encoding, the merges that follow from them, made once by the driver: a few MB."""
+    ranks = read_ranks(ranks_path)
+    return df.sparkSession.sparkContext.broadcast((ranks, merges_of(ranks) if merges else []))
+
+
 def lists(parts: list[np.ndarray], kind=None) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
@@ -127,20 +135,21 @@ def lists(parts: list[np.ndarray], kind=None) -> pa.Array:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """id, ids array<int>; with `offsets` also char_starts, char_ends array<int>."""
-    ranks, key = read_ranks(ranks_path), ranks_path
+    tables = tables_of(docs, ranks_path, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks, pattern, key)
-        # the worker lives on for other work: what it has learned goes with the task
-        for ids, data in slices(batches, 2 << 20):
-            texts = [(x or b"").decode("utf-8", "replace") for x in data]
-            tokens = codec.encode(texts)
-            columns = [pa.array(ids, pa.int64()), lists(tokens)]
-            if offsets:
-                spans = [codec.spans(t, x) for t, x in zip(texts, tokens, strict=True)]
-                columns += [lists([s[k] for s in spans]) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "char_starts", "char_ends"][: len(columns)])
-        Codec.made.clear()
+        codec = Codec.of(tables, pattern, ranks_path)
+        try:
+            for ids, data in slices(batches, 2 << 20):
+                texts = [(x or b"").decode("utf-8", "replace") for x in data]
+                tokens = codec.encode(texts)
+                columns = [pa.array(ids, pa.int64()), lists(tokens)]
+                if offsets:
+                    spans = [codec.spans(t, x) for t, x in zip(texts, tokens, strict=True)]
+                    columns += [lists([s[k] for s in spans]) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "char_starts", "char_ends"][: len(columns)])
+        finally:
+            Codec.made.clear()  # the worker lives on for other work: what it has learned goes with the task
 
     more = ", char_starts array<int>, char_ends array<int>" if offsets else ""
     out = as_bytes(docs, id_col, text_col).mapInArrow(run, f"id long, ids array<int>{more}")
@@ -150,21 +159,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 def decode(tokens: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of `keep`, decoded binary: the bytes of the tokens; a null list gives none.
 
-    An id outside the vocabulary fails the task: it has no bytes to stand for.
+    A list with a null or an id outside the vocabulary, which has no bytes to stand for, gives null.
     """
-    ranks, key = read_ranks(ranks_path), ranks_path
+    tables = tables_of(tokens, ranks_path, False)
     table = tokens.select(F.col(id_col), F.col(ids_col), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks, "", key)
-        for whole in batches:
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(whole.column(1)), 0).to_pylist()
-            for i, j in runs(sizes, 1 << 20):
-                b = whole.slice(i, j - i)
-                data = [codec.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(data, pa.binary())], [id_col, *keep, "decoded"])
-        Codec.made.clear()
-        release()
+        codec = Codec.of(tables, "", ranks_path)
+        try:
+            for whole in batches:
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(whole.column(1)), 0).to_pylist()
+                for i, j in runs(sizes, 1 << 20):
+                    b = whole.slice(i, j - i)
+                    data = [codec.decode(x.values.to_pylist() if x.values.null_count else x.values.to_numpy().tolist()) if x.is_valid else b"" for x in b.column(1)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(data, pa.binary())], [id_col, *keep, "decoded"])
+        finally:
+            Codec.made.clear()
+            release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != ids_col or f.name in keep)
     return table.mapInArrow(run, f"{schema}, decoded binary")

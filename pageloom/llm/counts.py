@@ -59,7 +59,7 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         parts = [(k, p) for k, t in enumerate(texts) for p in self.cut(t)]
         totals = [0] * len(texts)
-        for i, j in runs([len(p) for _, p in parts], BATCH):
+        for i, j in runs([len(p.encode("utf-8", "replace")) for _, p in parts], BATCH):
             for (k, _), ids in zip(parts[i:j], self.sp.encode([p for _, p in parts[i:j]], num_threads=1), strict=True):
                 totals[k] += len(ids)
         return totals

@@ -121,7 +121,7 @@ def canonical_lines(text: Column) -> Column:
     """The canonical form with its line ends; every line has a space at both ends."""
     out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), OTHER, " ")
     out = F.concat(F.lit(" "), F.replace(out, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
-    for old, new in SPELLINGS:
+    for old, new in [*SPELLINGS, *SPELLINGS]:  # again, for a word that stands twice in a row: both share a space
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
     return out
 
@@ -169,7 +169,7 @@ def scan_sql(texts=TEXTS, notices=NOTICES) -> str:
     def canonical(x: str) -> str:
         out = f"regexp_replace(regexp_replace(lower({x}), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(OTHER)}, ' ', 'g')"
         out = f"' ' || replace({out}, chr(10), ' ' || chr(10) || ' ') || ' '"
-        for old, new in SPELLINGS:
+        for old, new in [*SPELLINGS, *SPELLINGS]:
             out = f"replace({out}, {quoted(f' {old} ')}, {quoted(f' {new} ')})"
         return out
 

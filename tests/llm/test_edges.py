@@ -110,6 +110,12 @@ def test_tokens(odd):
     assert spans.char_starts[0] == 0 and spans.char_ends[-1] == len(text) and all(a < b for a, b in zip(spans.char_starts, spans.char_ends, strict=True))
 
 
+def test_ids_without_bytes(spark):
+    rows = [(1, [0, 1]), (2, [0, 10_000_000]), (3, None), (4, []), (5, [0, None])]
+    out = {r.doc_id: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), RANKS).collect()}
+    assert len(out[1]) == 2 and out[2] is None and bytes(out[3]) == bytes(out[4]) == b"" and out[5] is None
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (100, [0.0, 1.0]), (200, []), (None, [1.0, 1.0]), (7, [1e30, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
@@ -145,6 +151,7 @@ def test_components(spark):
 
 
 def test_licences(spark):
+    assert spark.range(1).select(license.one_line(license.canonical_lines(F.lit("a licence licence licence b")))).first()[0] == "a license license license b"
     mit = dict(license.TEXTS)["MIT"]
     rows = [(1, "Copyright (c) 2020 Some One\n\n" + mit.replace(".", " .").upper()), (2, "text\nReleased under the MIT Licence\nmore"), (3, mit[:-20]), (4, None), (5, "")]
     out = {r.doc_id: r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("x"))).collect()}

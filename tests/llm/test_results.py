@@ -224,12 +224,91 @@ def test_near_lines(spark, monkeypatch, longest):
     assert all(len(grams(at[p]) & grams(at[f])) > 0.3 * len(grams(at[p])) for p, f in out.items())
 
 
-@tables
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage again in plain Python, on what the stage before has left."""
+    import hashlib
+    import zlib
+
+    import public_tokenizers as P
+    import tiktoken
+
     import corpus_pipeline
+    from pageloom.llm import bpe
+
+    rng = random.Random(21)
+    vocabulary = {"en": [f"the{c}ing" for c in "abcdefghijkl"] + ["of", "and", "with"], "de": [f"ge{c}ung" for c in "bdfgklmnprst"] + ["der", "und", "mit"]}
+
+    def line(lang, n=14):
+        return " ".join(rng.choice(vocabulary[lang]) + rng.choice("aeiou") for _ in range(n))
+
+    bench = [(k, line("en", 12)) for k in range(3)]
+    docs = [(k, "\n".join(line(lang) for _ in range(6)), lang) for k, lang in enumerate(["en", "de"] * 30)]
+    text = [t for _, t, _ in docs]
+    text[7] = text[3]
+    text[9] = text[3].replace("und", "oder", 1)
+    text[11] = "\n".join([*text[12].split("\n")[:3], text[11]])
+    junk = next(i for i in range(22, 60) if zlib.crc32(str(i).encode()) % 5 == 0)  # not one to learn from
+    text[junk] = " ".join(bytes(rng.choices(b"qxzjkvw", k=9)).decode() for _ in range(120))
+    text[15] = "\n".join([text[15], bench[0][1], line("de")])
+    text[17] = "\n".join([text[17], bench[1][1] + " " + bench[2][1]])
+    words = text[19].replace("\n", " ").split()
+    words[20] = "zzz"
+    text[21] = "\n".join(" ".join(words[k : k + 8]) for k in range(0, len(words), 8))
+    docs = [(i, text[i], lang, "s", len(text[i])) for i, _, lang in docs] + [(60, None, "en", "s", 0), (61, "", "de", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    model = langid.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    left = {i: t for i, t, *_ in docs if not model.predict([t or ""])[2][0]}
+    assert junk not in left and 60 not in left and 61 not in left and len(left) == 59
+
+    def joined(near, items):
+        root = {i: i for i in items}
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in items:
+            for j in items:
+                if i < j and near(items[i], items[j]):
+                    a, b = top(i), top(j)
+                    root[max(a, b)] = min(a, b)
+        return {i: top(i) for i in items}
 
-    out = corpus_pipeline.run(spark, DATA)
-    assert set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 0 < out.count() <= 200
+    grams = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    lines = {(i, n): x.strip().lower() for i, t in left.items() for n, x in enumerate(t.split("\n")) if x.strip()}
+    sets = {p: (x, grams(x)) for p, x in lines.items()}
+    first = joined(lambda x, y: x[0] == y[0] or min(len(x[0]), len(y[0])) >= 20 and len(x[1] & y[1]) >= 0.8 * len(x[1] | y[1]), sets)
+    left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if first.get((i, n), (i, n)) == (i, n)) for i, t in left.items()}
+    left = {i: t for i, t in left.items() if t.strip()}
+    assert 7 not in left and len(left[12].split("\n")) == 3
+    first = joined(lambda x, y: bool(x) and 100 * len(x & y) >= 75 * len(x | y), {i: shingles(t) for i, t in left.items()})
+    left = {i: t for i, t in left.items() if first[i] == i}
+    assert (19 in left, 21 in left) == (True, False), (left.get(19), left.get(21), first.get(19), first.get(21))
+
+    def hits(t, item):
+        w, b = [x.lower() for x in t.split()], item.split()
+        windows = {tuple(b[k : k + 8]) for k in range(len(b) - 7)}
+        return {p for k in range(len(w) - 7) if tuple(w[k : k + 8]) in windows for p in range(k, k + 8)}
+
+    found = {i: [h for _, b in bench if (h := hits(t, b))] for i, t in left.items()}
+    assert len(found[15]) == 1 and len(found[17]) == 2
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(queries.BYTE_BPE), special_tokens={})
+    expected = {}
+    for i, t in left.items():
+        if len(found[i]) < 2:
+            if found[i]:
+                data = t.encode()
+                gone = sorted(set.union(*found[i]))
+                runs = [(a, b) for a in gone if a - 1 not in gone for b in gone if b >= a and b + 1 not in gone and set(range(a, b + 1)) <= set(gone)]
+                t = decontam.cut_spans(data, [(a, b + 1) for a, b in runs]).decode()
+                assert not hits(t, bench[0][1])
+            ids = own.encode_ordinary(t)
+            expected[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert out == expected
 
 
 def near_pairs(spark, pairs):
