@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.unicode import modal_count, nfc
+
 #: White space as a class of Java's regular expressions.
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 #: Where splitlines() ends a line.
@@ -29,8 +31,8 @@ def lines_of(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Extracted text without invisible characters, runs of blanks and of empty lines. Expects NFC."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    """Extracted text as NFC, without invisible characters, runs of blanks and of empty lines."""
+    out = F.regexp_replace(F.coalesce(composed(text), F.lit("")), "\r\n?", "\n")
     out = F.regexp_replace(out, "[​﻿]", "")
     out = F.regexp_replace(out, "[\t  ]+", " ")
     out = F.array_join(F.transform(F.split(out, "\n"), strip), "\n")
@@ -49,10 +51,16 @@ def ratio(count: Column, total: Column) -> Column:
     return F.when(total > 0, count / total).otherwise(F.lit(0.0))
 
 
-def commonest(text: Column) -> Column:
-    """How often the most frequent character occurs; 0 for an empty text."""
-    chars = F.array_distinct(F.split(text, ""))
-    return F.coalesce(F.array_max(F.transform(chars, lambda c: F.when(c == "", 0).otherwise(F.length(text) - F.length(F.replace(text, c, F.lit("")))))), F.lit(0))
+def composed(text: Column) -> Column:
+    """The text as NFC. Texts that have only characters below U+0300 are; the others alone go to Python."""
+    return F.coalesce(nfc(F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), text)), text)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """The nearest number of so many digits to the exact binary value, ties to even."""
+    one, half = 10.0**-digits, 0.5 * 10.0**-digits
+    up = F.abs(x) >= half if round(half, digits) else F.abs(x) > half  # the half as a binary number may be more than a half
+    return F.when(F.abs(x) < one, F.when(up, F.signum(x) * one).otherwise(0.0)).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double"))
 
 
 def finite(x: Column, default: float = 0.0) -> Column:
@@ -86,7 +94,7 @@ def quality_counts(seen: Column, meaning: Column) -> dict[str, Column]:
         "controls": F.regexp_count(seen, F.lit(r"\p{Cc}")),
         "private": F.regexp_count(seen, F.lit(r"\p{Co}")),
         "meaningful": F.length(meaning),
-        "modal": commonest(meaning),
+        "modal": modal_count(meaning),
     }
 
 
@@ -106,15 +114,15 @@ def quality_score(least_chars: int = 3) -> dict[str, Column]:
     for hit, _, cost in rules:
         score = score - F.when(hit, cost).otherwise(0.0)
     warnings = F.array_compact(F.array(*[F.when(hit, F.lit(text)) for hit, text, _ in rules]))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
+    score = rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
     return {
         "score": score,
         "acceptable": (F.size(warnings) == 0) & (score >= 0.7),
         "usable_char_count": F.greatest(F.lit(0), usable),
-        "replacement_ratio": F.round(r, 4),
-        "control_ratio": F.round(k, 4),
-        "private_use_ratio": F.round(p, 4),
-        "dominant_char_ratio": F.round(m, 4),
+        "replacement_ratio": rounded(r, 4),
+        "control_ratio": rounded(k, 4),
+        "private_use_ratio": rounded(p, 4),
+        "dominant_char_ratio": rounded(m, 4),
         "warnings": warnings,
     }
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+
 from pageloom.functions.udf import arrow_function
 
 
@@ -21,6 +22,20 @@ def scoring_form(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(unicodedata.normalize("NFKC", x).split()), na_action="ignore")
 
 
+@arrow_function("int")
+def modal_count(s: pd.Series) -> pd.Series:
+    """How often the most frequent character occurs, in one pass; 0 for an empty text."""
+
+    def of(text: str) -> int:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(codes):
+            return 0
+        top = int(codes.max())
+        return int((np.bincount(codes) if top < 1 << 16 else np.unique(codes, return_counts=True)[1]).max())
+
+    return s.map(of, na_action="ignore")
+
+
 @arrow_function("double")
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of matching characters, by longest common blocks; null if a side is."""

@@ -57,8 +57,14 @@ def prefix_lengths(pages: DataFrame) -> DataFrame:
     full = F.filter(F.transform(lines_of(F.col("text")), strip), lambda x: x != "")
     before = Window.partitionBy("doc_id").orderBy("page_number")
     both = pages.select("doc_id", "page_number", full.alias("now")).withColumn("was", F.lag("now").over(before)).where("was IS NOT NULL")
-    runs = F.transform("was", lambda x, s: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.size("now"), F.size("was") - s), F.lit(1))), lambda k: F.slice("now", F.lit(1), k) == F.slice("was", s + 1, k))))
-    return both.select("doc_id", "page_number", F.coalesce(F.array_max(runs), F.lit(0)).alias("longest"))
+    return both.select("doc_id", "page_number", _shared_prefix("was", "now").alias("longest"))
+
+
+@arrow_function("int")
+def _shared_prefix(was, now):
+    import pandas as pd
+
+    return pd.Series([_common_prefix(list(x), list(y)) if y is not None else 0 for x, y in zip(was, now, strict=True)], dtype="int32")
 
 
 def _common_prefix(previous: list[str], current: list[str]) -> int:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.boxes import overlap_ratio
+from pageloom.functions.text import rounded
+from pageloom.functions.udf import arrow_function
 
 PAGE = ["doc_id", "page_number"]
 _CJK = re.compile("[㐀-鿿豈-﫿]")
@@ -86,12 +88,15 @@ def column_splits(blocks: DataFrame, page_width: float) -> DataFrame:
 def corridors(words: DataFrame, page_width: float, tolerance: int = 2, least: int = 6) -> DataFrame:
     """doc_id, page_number, start, end: runs of points in the middle of the page that few words cross."""
     low, high, width = int(page_width * 0.2), int(page_width * 0.8), math.ceil(page_width)
-    first, last = F.greatest(F.floor("x0").cast("int"), F.lit(0)), F.least(F.ceil("x1").cast("int"), F.lit(width)) - 1
-    covered = words.where(last >= first).select(*PAGE, F.explode(F.sequence(first, last)).alias("bin")).where(F.col("bin").between(low, high)).groupBy(*PAGE, "bin").agg(F.count("*").alias("n"))
-    bins = words.select(*PAGE).distinct().withColumn("bin", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    open_ = bins.join(covered, [*PAGE, "bin"], "left").where(F.coalesce("n", F.lit(0)) <= tolerance)
-    island = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    return open_.withColumn("__i", island).groupBy(*PAGE, "__i").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end")).where(F.col("end") - F.col("start") >= least).drop("__i")
+    first, end = F.greatest(F.floor("x0").cast("int"), F.lit(0)), F.least(F.ceil("x1").cast("int"), F.lit(width))
+    inside = lambda v: F.greatest(F.lit(low), F.least(F.lit(high + 1), v))
+    # a word begins at one point and ends at another; in between the sum of what has begun is constant
+    steps = F.array(F.struct(inside(first).alias("at"), F.when(end > first, 1).otherwise(0).alias("n")), F.struct(inside(end).alias("at"), F.when(end > first, -1).otherwise(0).alias("n")), F.struct(F.lit(low).alias("at"), F.lit(0).alias("n")), F.struct(F.lit(high + 1).alias("at"), F.lit(0).alias("n")))
+    points = words.select(*PAGE, F.explode(steps).alias("s")).groupBy(*PAGE, "s.at").agg(F.sum("s.n").alias("n"))
+    along = Window.partitionBy(*PAGE).orderBy("at")
+    spans = points.select(*PAGE, F.col("at").alias("start"), F.lead("at").over(along).alias("end"), (F.sum("n").over(along) <= tolerance).alias("free")).where("end IS NOT NULL")
+    islands = spans.withColumn("__i", F.sum((~F.col("free")).cast("int")).over(Window.partitionBy(*PAGE).orderBy("start"))).where("free")
+    return islands.groupBy(*PAGE, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= least).drop("__i")
 
 
 def lane_counts(words: DataFrame, splits: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def lane_counts(words: DataFrame, splits: DataFrame) -> DataFrame:
 
 def reading_order(blocks: DataFrame) -> DataFrame:
     """doc_id, page_number, text: the blocks of single-column pages from top to bottom."""
-    key = F.struct(F.round("top", 1).alias("a"), F.col("x0").alias("b"), F.col("bottom").alias("c"), F.col("idx").alias("d"), F.col("text").alias("t"))
+    key = F.struct(rounded(F.col("top"), 1).alias("a"), F.col("x0").alias("b"), F.col("bottom").alias("c"), F.col("idx").alias("d"), F.col("text").alias("t"))
     return blocks.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["t"]), "\n").alias("text"))
 
 
@@ -209,15 +214,18 @@ def three_columns(words: list[Word], width: float, height: float, short: bool =
             crossed[min(math.ceil(width), math.ceil(w.x1))] -= 1
         for i in range(1, len(crossed)):
             crossed[i] += crossed[i - 1]
-        centres, start = [], None
+        gaps, start = [], None
         for p in range(int(width * 0.2), int(width * 0.8) + 2):
             free = p <= int(width * 0.8) and crossed[p] <= (0 if short else 2)
             if free and start is None:
                 start = p
             elif not free and start is not None:
-                if 6 <= p - start <= width * 0.065:
-                    centres.append((start + p) / 2)
+                if p - start >= 6:
+                    gaps.append((start, p))
                 start = None
+        if len(gaps) < 2:  # as many words without two gaps are no three columns, in a short band neither
+            return None
+        centres = [(a + b) / 2 for a, b in gaps if b - a <= width * 0.065]
         for a in centres:
             for b in centres:
                 if b - a < width * 0.21 or min(a, b - a, width - b) < width * 0.19:
@@ -398,15 +406,27 @@ def page_texts(words: DataFrame, page_width: float, page_height: float, tables:
     return words.groupBy(*PAGE).cogroup(tables.groupBy(*PAGE)).applyInPandas(lambda key, w, t: of(key, w, t), LAYOUT)
 
 
-def cluster_lines(words: DataFrame) -> DataFrame:
-    """The words with line_no by running mean centres: a fold over each page's sorted words, inside Catalyst."""
-    sorted_ = F.array_sort(F.collect_list(F.struct("top", "x0", "word_idx", ((F.col("top") + F.col("bottom")) / 2).alias("c"), F.greatest(F.lit(2.5), (F.col("bottom") - F.col("top")) * 0.35).alias("slack"))))
-    zero = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<struct<word_idx:int,line_no:int>>").alias("out"))
+@arrow_function("array<int>")
+def _line_numbers(pages):
+    import pandas as pd
+
+    def of(words) -> list[int]:
+        line, total, n, out = -1, 0.0, 0, []
+        for w in words:
+            if n and abs(w["c"] - total / n) <= w["slack"]:
+                total, n = total + w["c"], n + 1
+            else:
+                line, total, n = line + 1, w["c"], 1
+            out.append(line)
+        return out
+
+    return pd.Series([of(p) for p in pages])
 
-    def step(acc, w):
-        new = (acc["n"] == 0) | (F.abs(w["c"] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) > w["slack"])
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(line.alias("line"), F.when(new, w["c"]).otherwise(acc["sum"] + w["c"]).alias("sum"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(F.struct(w["word_idx"].alias("word_idx"), line.alias("line_no")))).alias("out"))
 
-    folded = words.groupBy(*PAGE).agg(F.aggregate(sorted_, zero, step, lambda a: a["out"]).alias("l")).select(*PAGE, F.explode("l").alias("l")).select(*PAGE, "l.word_idx", "l.line_no")
-    return words.join(folded, [*PAGE, "word_idx"])
+def cluster_lines(words: DataFrame) -> DataFrame:
+    """The words with line_no by running mean centres: one fold over each page's sorted words."""
+    own = F.struct("top", "x0", "word_idx", ((F.col("top") + F.col("bottom")) / 2).alias("c"), F.greatest(F.lit(2.5), (F.col("bottom") - F.col("top")) * 0.35).alias("slack"))
+    folded = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(own)).alias("w"))
+    numbers = F.arrays_zip(F.transform("w", lambda w: w["word_idx"]).alias("word_idx"), _line_numbers("w").alias("line_no"))
+    lines = folded.select(*PAGE, F.explode(numbers).alias("l")).select(*PAGE, "l.word_idx", "l.line_no")
+    return words.join(lines, [*PAGE, "word_idx"])

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from statistics import median
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import CJK_RECOGNISED
+from pageloom.functions.text import CJK_RECOGNISED, rounded, strip
 
 PAGE = ["doc_id", "page_number"]
 LOW = 0.6
@@ -22,8 +22,8 @@ def blocks_of(results: DataFrame) -> DataFrame:
     Blank texts go; the others are numbered. A polygon that is missing or not finite is
     replaced by a unit box at the block's number.
     """
-    rows = results.select(*PAGE, F.posexplode("texts").alias("i", "text"), "scores", "polygons").withColumn("text", F.trim("text")).where("text <> ''")
-    rows = rows.withColumn("source_index", F.row_number().over(Window.partitionBy(*PAGE).orderBy("i")) - 1)
+    full = F.filter(F.transform("texts", lambda t, i: F.struct(i.alias("i"), strip(t).alias("text"))), lambda t: t["text"] != "")
+    rows = results.select(*PAGE, F.posexplode(full).alias("source_index", "t"), "scores", "polygons").select(*PAGE, "source_index", F.col("t.i").alias("i"), F.col("t.text").alias("text"), "scores", "polygons")
     polygon = F.get("polygons", F.col("i"))
     xs, ys = F.transform(polygon, lambda p: F.get(p, F.lit(0))), F.transform(polygon, lambda p: F.get(p, F.lit(1)))
     fine = F.coalesce((F.size(polygon) > 0) & F.forall(F.concat(xs, ys), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
@@ -36,7 +36,7 @@ def blocks_of(results: DataFrame) -> DataFrame:
 
 def confidence(blocks: DataFrame) -> DataFrame:
     """doc_id, page_number, mean_confidence (4 digits), low_confidence_count, block_count."""
-    return blocks.groupBy(*PAGE).agg(F.round(F.avg("score"), 4).alias("mean_confidence"), F.count_if(F.col("score") < LOW).alias("low_confidence_count"), F.count("*").alias("block_count"))
+    return blocks.groupBy(*PAGE).agg(rounded(F.avg("score"), 4).alias("mean_confidence"), F.count_if(F.col("score") < LOW).alias("low_confidence_count"), F.count("*").alias("block_count"))
 
 
 def horizontal_text(blocks: DataFrame) -> DataFrame:

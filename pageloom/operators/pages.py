@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.boxes import clipped_area
-from pageloom.functions.text import ordered_distinct, strip, with_quality
+from pageloom.functions.text import ordered_distinct, rounded, strip, with_quality
 
 KINDS = ("text", "scanned", "mixed", "empty")
 # What is said about a page of each kind.
@@ -48,7 +48,7 @@ def classify(pages: DataFrame) -> DataFrame:
     kind = page_kind(F.col("text_char_count"), F.col("image_count"), F.col("image_coverage_ratio"))
     notes = F.create_map(*[F.lit(x) for pair in KIND_NOTES.items() for x in pair])
     out = pages.withColumn("kind", kind)
-    return out.withColumn("image_coverage_ratio", F.round("image_coverage_ratio", 4)).withColumn("note", F.try_element_at(notes, F.col("kind")))
+    return out.withColumn("image_coverage_ratio", rounded(F.col("image_coverage_ratio"), 4)).withColumn("note", F.try_element_at(notes, F.col("kind")))
 
 
 def document_kinds(pages: DataFrame) -> DataFrame:

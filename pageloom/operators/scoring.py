@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import cjk_count, latin_count
+from pageloom.functions.text import cjk_count, latin_count, rounded
 from pageloom.functions.unicode import differences, scoring_form
 
 GATE = 0.9
@@ -87,5 +87,5 @@ def table_recall(truth: DataFrame, outputs: DataFrame) -> DataFrame:
     tabbed = F.size(F.filter(fields, lambda f: (F.size(f) == F.size("headers")) & (F.size(F.filter(f, lambda x: F.trim(x) != "")) >= 2)))
     tabs = both.select("doc_id", tabbed.alias("tabular_rows"), (tabbed >= F.size("rows") + 1).alias("structure_restored"))
     return found.join(order, "doc_id").join(tabs, "doc_id").select(
-        "doc_id", "matched_cells", "total_cells", F.round(F.col("matched_cells") / F.col("total_cells"), 4).alias("cell_recall"),
+        "doc_id", "matched_cells", "total_cells", rounded(F.col("matched_cells") / F.col("total_cells"), 4).alias("cell_recall"),
         F.col("missing.cell").alias("missing_cells"), "row_order_ok", "tabular_rows", "structure_restored")

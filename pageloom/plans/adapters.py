@@ -44,25 +44,30 @@ TURNS_SQL = """turns AS (
 )"""
 
 
+#: Lines of a page of words.
+LINES = 45
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as words of pages with one, two or three columns."""
+    """Line items as words of pages with one, two or three columns; a page takes LINES lines, the rest goes on to the next of its kind."""
     w = Window.partitionBy("l_suppkey", "columns").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    li = table(spark, d, "lineitem").withColumn("columns", (F.col("l_orderkey") % 3 + 1).cast("int")).withColumn("word_idx", F.row_number().over(w) - 1).where(F.col("word_idx") < 45 * F.col("columns"))
+    li = table(spark, d, "lineitem").withColumn("columns", (F.col("l_orderkey") % 3 + 1).cast("int")).withColumn("nth", F.row_number().over(w) - 1)
+    full = LINES * F.col("columns")
+    li = li.withColumn("page_number", (F.floor(F.col("nth") / full) * 3).cast("int") + F.col("columns")).withColumn("word_idx", F.pmod("nth", full))
     line, lane, q = F.floor(F.col("word_idx") / F.col("columns")).cast("int"), F.col("word_idx") % F.col("columns"), F.col("l_quantity") % 10
     one, two = F.col("columns") == 1, F.col("columns") == 2
     return li.select(
-        F.col("l_suppkey").alias("doc_id"), F.col("columns").alias("page_number"), "word_idx", line.alias("line_no"), lane.alias("lane"), F.concat("l_returnflag", "l_linestatus", "l_partkey").alias("text"),
+        F.col("l_suppkey").alias("doc_id"), "page_number", "columns", "word_idx", line.alias("line_no"), lane.alias("lane"), F.concat("l_returnflag", "l_linestatus", "l_partkey").alias("text"),
         F.when(one, 60.0).when(two, 60.0 + 272 * lane).otherwise(45.0 + 177 * lane).alias("x0"), F.when(one, 500 + q).when(two, 250 + 272 * lane + q).otherwise(200 + 177 * lane + q).alias("x1"),
-        (60.0 + 14 * line).alias("top"), (70.0 + 14 * line).alias("bottom"), F.lit(True).alias("upright"), F.round(0.5 + F.col("l_discount") * 5, 4).alias("score"))
+        (60.0 + 14 * line).alias("top"), (70.0 + 14 * line).alias("bottom"), F.lit(True).alias("upright"), (0.5 + F.round(F.col("l_discount") * 100) / 32).alias("score"))
 
 
-WORDS_SQL = """words AS (
-  SELECT l_suppkey AS doc_id, columns AS page_number, CAST(word_idx AS INTEGER) AS word_idx, CAST(word_idx // columns AS INTEGER) AS line_no, CAST(word_idx % columns AS INTEGER) AS lane, l_returnflag || l_linestatus || l_partkey AS text,
+WORDS_SQL = f"""words AS (
+  SELECT l_suppkey AS doc_id, CAST(nth // ({LINES} * columns) * 3 + columns AS INTEGER) AS page_number, columns, CAST(word_idx AS INTEGER) AS word_idx, CAST(word_idx // columns AS INTEGER) AS line_no, CAST(word_idx % columns AS INTEGER) AS lane, l_returnflag || l_linestatus || l_partkey AS text,
          CASE columns WHEN 1 THEN 60.0::DOUBLE WHEN 2 THEN 60.0 + 272 * (word_idx % columns) ELSE 45.0 + 177 * (word_idx % columns) END AS x0,
          CASE columns WHEN 1 THEN 500 + l_quantity % 10 WHEN 2 THEN 250 + 272 * (word_idx % columns) + l_quantity % 10 ELSE 200 + 177 * (word_idx % columns) + l_quantity % 10 END AS x1,
-         60.0::DOUBLE + 14 * (word_idx // columns) AS top, 70.0::DOUBLE + 14 * (word_idx // columns) AS bottom, round(0.5 + l_discount * 5, 4) AS score
-  FROM (SELECT *, CAST(l_orderkey % 3 + 1 AS INTEGER) AS columns, row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS word_idx FROM lineitem)
-  WHERE word_idx < 45 * columns
+         60.0::DOUBLE + 14 * (word_idx // columns) AS top, 70.0::DOUBLE + 14 * (word_idx // columns) AS bottom, 0.5::DOUBLE + round(l_discount * 100) / 32 AS score
+  FROM (SELECT *, nth % ({LINES} * columns) AS word_idx FROM (SELECT *, CAST(l_orderkey % 3 + 1 AS INTEGER) AS columns, row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS nth FROM lineitem))
 )"""
 
 

@@ -251,7 +251,7 @@ def test_raw_results(spark):
     out = {r.text: r for r in ocr.blocks_of(df).collect()}
     assert (out["b"].source_index, out["b"].top, out["b"].left, out["b"].bottom, out["b"].right, out["b"].score) == (0, 20.0, 5.0, 30.0, 9.0, 0.9)
     assert out["a"].source_index == 1 and out["a"].score is None and not out["c"].has_geometry and (out["c"].top, out["c"].bottom) == (2.0, 3.0)
-    assert ocr.horizontal_text(ocr.blocks_of(df)).first().text == "a\nc\nb"
+    assert ocr.horizontal_text(ocr.blocks_of(df)).first().text == "c\na\nb"  # without a polygon a block stands at the left edge
 
 
 def test_differences_of_every_item(spark, tmp_path):
@@ -260,3 +260,36 @@ def test_differences_of_every_item(spark, tmp_path):
     spark.createDataFrame([(1, "the cat"), (2, "thé à la menthe"), (3, "中文 the")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.item_id: r.differences for r in catalogue.accuracy_differences(spark, str(tmp_path)).collect()}
     assert set(out) == {1, 2, 3} and all(x not in (None, "[]") for x in out.values())
+
+
+def test_rounding_is_of_the_exact_binary_value(spark):
+    import random
+
+    from pageloom.functions.text import rounded
+
+    rng = random.Random(6)
+    values = [0.125, 0.375, 2.675, 1.005, 0.5, 1.5, 2.5, 0.00005, 0.65125, 1234567.125, -0.125, 0.0] + [rng.random() for _ in range(300)] + [k / 64 for k in range(128)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[rounded(F.col("v"), n).alias(f"r{n}") for n in (1, 2, 4)]).collect()
+    assert [tuple(r) for r in rows] == [(r.v, round(r.v, 1), round(r.v, 2), round(r.v, 4)) for r in rows]
+
+
+def test_composed_texts(spark):
+    from pageloom.functions import text
+
+    rows = [("e\u0301t\u00e9",), ("plain",), (None,), ("\u212b \u1100\u1161",)]
+    out = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.normalize(F.col("t"))).collect()]
+    assert out == ["\u00e9t\u00e9", "plain", "", "\u00c5 \uac00"]
+
+
+def test_corridors_and_lines_of_long_pages(spark):
+    words = [(1, 1, k, 10.0 + 200 * (k % 3), 150.0 + 200 * (k % 3), 20.0 + 10 * (k // 3), 28.0 + 10 * (k // 3)) for k in range(300)]
+    df = spark.createDataFrame(words, "doc_id long, page_number int, word_idx int, x0 double, x1 double, top double, bottom double")
+    assert sorted((r.start, r.end) for r in layout.corridors(df, 600.0).collect()) == [(150, 210), (350, 410)]
+    assert {r.word_idx: r.line_no for r in layout.cluster_lines(df).collect()} == {k: k // 3 for k in range(300)}
+
+
+def test_three_columns_need_two_gaps():
+    words = [layout.Word("wwww", 20.0, 100.0 + 5 * r, 590.0, 104.0 + 5 * r) for r in range(72)]
+    band = [layout.Word("ab", 20.0 + 195 * c, 50.0 + 2 * r, 185.0 + 195 * c, 52.0 + 2 * r) for r in range(14) for c in range(3)]
+    assert layout.three_columns(band, 612.0, 792.0) is not None
+    assert layout.three_columns([*words, *band], 612.0, 792.0) is None  # enough words below for the rule of whole pages
