@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import SPACE, strip
+from pageloom.functions.udf import arrow_function
 from pageloom.model import MB, SUFFIXES, TARGETS, BatchLimits, PdfLimits, ZipLimits
 
 
@@ -209,6 +210,47 @@ def inspect_pdf_heads(files: DataFrame, *, content: str = "content", limits: Pdf
     )
 
 
+@arrow_function("long")
+def pdf_object_count(content):
+    """Different (generation, id) of a PDF's objects, those inside of object streams too; null for what is no PDF."""
+    import re
+    import zlib
+
+    import pandas as pd
+
+    head, packed = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b"), re.compile(rb"<<([^\0]{0,2000}?/ObjStm[^\0]{0,2000}?)>>\s*stream\r?\n")
+
+    def of(data: bytes | None) -> int | None:
+        if not data or not data.startswith(b"%PDF-"):
+            return None
+        keys = {(int(m[2]), int(m[1])) for m in head.finditer(data)}
+        for m in packed.finditer(data):
+            n = re.search(rb"/N\s+(\d+)", m[1])
+            try:
+                body = zlib.decompressobj().decompress(data[m.end() :], 64 << 20) if b"/FlateDecode" in m[1] else data[m.end() :]
+                keys |= {(0, int(x)) for x in body.split(None, 2 * int(n[1]))[: 2 * int(n[1]) : 2]} if n else set()
+            except (zlib.error, ValueError):
+                continue  # what can't be unpacked names no objects
+        return len(keys)
+
+    return pd.Series([of(None if c is None else bytes(c)) for c in content], dtype="Int64")
+
+
+def object_count_error(count: Column, limits: PdfLimits = PdfLimits()) -> Column:
+    return F.when(count > limits.objects, F.concat(F.lit("PDF 间接对象过多："), count, F.lit(f"，上限为 {limits.objects}。")))
+
+
+def output_folder(raw: str) -> str:
+    """The absolute path of an output folder, made if it is not there; it must lie below the user's home. A check of the driver's job options."""
+    from pathlib import Path
+
+    path, home = Path(raw).expanduser().absolute().resolve(strict=False), Path.home().resolve()
+    if home not in path.parents:
+        raise ValueError("输出目录必须位于当前用户主目录的子目录中。")
+    path.mkdir(parents=True, exist_ok=True)
+    return str(path)
+
+
 def page_size_error(limits: PdfLimits = PdfLimits()) -> Column:
     """Rule of a page (page_number, width, height, user_unit): its size times its unit must be positive, finite and bounded."""
     unit = F.coalesce(F.col("user_unit").cast("double"), F.lit(1.0))

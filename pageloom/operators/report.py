@@ -66,6 +66,29 @@ def shown_size(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size, F.lit(" B"))).when(size < 1024 * 1024, F.format_string("%.1f KB", size / 1024)).otherwise(F.format_string("%.1f MB", size / 1024 / 1024))
 
 
+# Names of formats as they are shown, and the columns of the overview.
+FORMATS = {"txt": "TXT", "markdown": "Markdown", "docx": "DOCX", "pdf": "PDF"}
+WAITING, SAME = "等待转换", "源格式与目标格式相同"
+
+
+def overview(reports: DataFrame) -> DataFrame:
+    """The twelve columns that a user sees of each report (with stats, detected_encoding and duration_seconds where they are known)."""
+    has = set(reports.columns)
+    stat = lambda n: F.coalesce(F.col(f"stats.{n}"), F.lit(0)) if "stats" in has and n in reports.schema["stats"].dataType.names else F.lit(0)
+    dash = lambda c: F.when(c.isNull() | (c == ""), "—").otherwise(c)
+    return reports.select(
+        F.col("source_file").alias("源文件"), status(F.col("success"), F.col("skipped")).alias("状态"), dash(F.col("target_file")).alias("输出文件"), dash(F.col("detected_encoding") if "detected_encoding" in has else F.lit(None).cast("string")).alias("编码"),
+        stat("headings").alias("标题"), stat("lists").alias("列表"), stat("tables").alias("表格"), stat("code_blocks").alias("代码块"), stat("links").alias("链接"), stat("images").alias("图片"),
+        (F.col("duration_seconds") if "duration_seconds" in has else F.lit(None).cast("double")).alias("耗时（秒）"), F.coalesce("error", F.lit("")).alias("错误"))
+
+
+def preview(files: DataFrame, target: Column) -> DataFrame:
+    """What is shown of files (file_name, length, source_format) before they are converted."""
+    names = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    source = F.coalesce("source_format", F.lit("unknown"))
+    return files.select(F.col("file_name").alias("文件名"), F.coalesce(F.try_element_at(names, source), source).alias("源格式"), shown_size(F.col("length")).alias("大小"), F.when(source == target, SAME).otherwise(WAITING).alias("处理状态"))
+
+
 @arrow_function("binary")
 def _zipped(files, summary):
     import pandas as pd

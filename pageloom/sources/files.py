@@ -14,7 +14,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.unicode import decode
@@ -138,6 +138,29 @@ def zip_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return read.select("doc_id", F.explode("d.entries").alias("e")).select("doc_id", "e.*"), read.where("d.error IS NOT NULL").select("doc_id", "d.error")
 
 
+@arrow_function("array<struct<rel_path:string,content:binary>>")
+def _media(content: pd.Series, folder: pd.Series) -> pd.Series:
+    limits = ZipLimits()
+
+    def of(data, name) -> list[dict]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(data or b""))) as z:
+                found = [e for e in z.infolist() if e.filename.startswith("word/media/") and not e.is_dir() and e.file_size <= limits.member_bytes]
+                return [{"rel_path": f"{name}/media/{e.filename.rsplit('/', 1)[1]}", "content": z.read(e)} for e in found]
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+            return []
+
+    return pd.Series([of(c, f) for c, f in zip(content, folder, strict=True)])
+
+
+def media(rows: DataFrame, stem: str = "stem") -> DataFrame:
+    """doc_id, rel_path, content of the pictures in DOCX files (doc_id, stem, content), under <stem>_assets, or _assets_2 and so on where stems repeat."""
+    nth = F.row_number().over(Window.partitionBy(stem).orderBy("doc_id"))
+    folder = F.concat(F.col(stem), F.lit("_assets"), F.when(nth > 1, F.concat(F.lit("_"), nth)).otherwise(""))
+    named = rows.select("doc_id", stem).withColumn("folder", folder).select("doc_id", "folder")
+    return rows.select("doc_id", "content").join(named, "doc_id").select("doc_id", F.explode(_media("content", "folder")).alias("m")).select("doc_id", "m.*")
+
+
 def plug_in(module: str, purpose: str):
     """An optional library, or a clear error that says what it is for."""
     if importlib.util.find_spec(module) is None:

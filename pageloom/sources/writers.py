@@ -84,3 +84,38 @@ def docx(blocks: pd.Series) -> pd.Series:
 def publish(df: DataFrame, path: str, kind: str = "json") -> None:
     """Write a result to a new place; one that exists fails the write and stays as it is."""
     df.write.mode("errorifexists").format(kind).save(path)
+
+
+def write_files(results: DataFrame, folder: str) -> DataFrame:
+    """doc_id, path of each delivered result (target_file, output), written to a folder that all executors see.
+
+    A file that is there already is never overwritten: the new one takes the next free
+    number behind its name. A result is complete once it has its name. Rows are written
+    when the returned rows are first asked for, which this does.
+    """
+    import os
+    import tempfile
+
+    def put(name: str, data: bytes) -> str:
+        stem, suffix = os.path.splitext(os.path.basename(name))
+        handle, part = tempfile.mkstemp(dir=folder, prefix=".part-")
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
+        n = 0
+        while True:
+            path = os.path.join(folder, f"{stem}_{n}{suffix}" if n else f"{stem}{suffix}")
+            try:
+                os.link(part, path)
+            except FileExistsError:
+                n += 1
+                continue
+            os.unlink(part)
+            return path
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "path": [put(n, bytes(d)) for n, d in zip(b.target_file, b.output, strict=True)]})
+
+    ready = results.where("success AND output IS NOT NULL").select("doc_id", "target_file", "output")
+    rows = ready.mapInPandas(run, "doc_id long, path string").collect()  # a batch has a bounded number of files
+    return results.sparkSession.createDataFrame(rows, "doc_id long, path string")
