@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 from pageloom.operators import admission, ast, cleanup, layout, ocr, pages, report, scoring, structure
 from pageloom.plans import adapters as A
+from pageloom.plans import evaluate, recover
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -167,11 +168,41 @@ def native_ocr_merge(spark: SparkSession, d: str) -> DataFrame:
     return pages.merge(_routed(spark, d), read).select("doc_id", "page_number", "source", "text")
 
 
-@query()
+@query(f"""WITH {A.TURNS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM turns GROUP BY doc_id),
+c AS (SELECT doc_id, page_number, source, CASE WHEN n >= 3 THEN trim(substr(text, strpos(text, chr(10)) + 1), chr(10) || ' ') ELSE text END AS text FROM turns JOIN n USING (doc_id))
+SELECT doc_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE text <> '') || chr(10), '') AS text, count(*) FILTER (WHERE source = 'native') AS native_pages, count(*) FILTER (WHERE source = 'ocr') AS ocr_pages FROM c GROUP BY doc_id""")
 def recovered_documents(spark: SparkSession, d: str) -> DataFrame:
     """Pages of conversations, cleaned and joined to documents."""
     own = cleanup.clean_pages(A.turns(spark, d)).withColumn("ocr_mean_confidence", F.lit(None).cast("double"))
-    return pages.documents(own)
+    return pages.documents(own).select("doc_id", "text", F.size("native_page_numbers").cast("long").alias("native_pages"), F.size("ocr_page_numbers").cast("long").alias("ocr_pages"))
+
+
+@query(f"""WITH {A.PAGES_SQL}, p AS (SELECT *, page_number % 3 AS tables, page_number % 2 + 1 AS columns FROM kinds)
+SELECT doc_id, count(*) AS page_count, CAST(sum(tables) AS BIGINT) AS structured_table_count, CAST(sum(image_count) AS BIGINT) AS image_count, coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (WHERE columns = 2), '') AS double_column_pages FROM p GROUP BY doc_id""")
+def document_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as recovered pages, summed by order."""
+    n, none = F.col("page_number"), F.lit(None)
+    found = pages.classify(A.pages(spark, d)).select(
+        "doc_id", "page_number", F.lit("native").alias("source"), F.concat(F.lit("page "), n).alias("text"), "kind", "image_count", none.cast("double").alias("native_quality_score"), none.cast("double").alias("ocr_mean_confidence"),
+        (n % 2 + 1).alias("column_count"), (n % 3).alias("structured_table_count"), F.lit(0).alias("complex_table_count"), F.lit(0).alias("table_fallback_count"), F.array().cast("array<string>").alias("warnings"), none.cast("string").alias("error"))
+    return recover.documents(found).select("doc_id", "page_count", "structured_table_count", "image_count", F.array_join("double_column_page_numbers", ",").alias("double_column_pages"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 0 THEN 'OCR 至少需要一个页码。' WHEN 1 THEN 'OCR 页码必须从 1 开始。' WHEN 2 THEN 'OCR 页码不能重复。' WHEN 3 THEN 'OCR 页码必须按升序排列。' WHEN 4 THEN 'PDF 仅有 ' || (o_custkey % 4 + 1) || ' 页，不存在第 9 页。' END AS error FROM orders""")
+def page_requests(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 6
+    numbers = F.when(k == 0, F.array().cast("array<int>")).when(k == 1, F.array(F.lit(0), F.lit(1))).when(k == 2, F.array(F.lit(1), F.lit(1))).when(k == 3, F.array(F.lit(2), F.lit(1))).when(k == 4, F.array(F.lit(1), F.lit(9))).otherwise(F.array(F.lit(1)))
+    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), recover.request_error(numbers, F.col("o_custkey") % 4 + 1).alias("error"))
+
+
+@query("""WITH r AS (SELECT conv_id AS doc_id, turn + 1 AS page_number FROM conversations), o AS (SELECT * FROM r WHERE NOT (doc_id % 4 = 0 AND page_number = 2)),
+j AS (SELECT coalesce(r.doc_id, o.doc_id) AS doc_id, o.doc_id IS NULL AS lone FROM r FULL JOIN o ON r.doc_id = o.doc_id AND r.page_number = o.page_number)
+SELECT doc_id, count(*) AS pages, CASE WHEN bool_or(lone) THEN '标准答案与输出必须包含相同数量的页面，且至少一页。' END AS error FROM j GROUP BY doc_id""")
+def page_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth conversation has lost its second page in the output."""
+    own = A.turns(spark, d).select("doc_id", "page_number", "text")
+    out = evaluate.paired(own, own.where(~((F.col("doc_id") % 4 == 0) & (F.col("page_number") == 2))))
+    return out.groupBy("doc_id").agg(F.count("*").alias("pages"), F.max("pair_error").alias("error"))
 
 
 _RULES = rf"""{A.STRUCTURED_SQL}, l AS (
@@ -464,6 +495,20 @@ def batch_report(spark: SparkSession, d: str) -> DataFrame:
     return report.batch_summary(_reports(spark, d), ["batch"])
 
 
+@query(f"WITH {A.JOBS_SQL} SELECT file_name AS source_file, CASE WHEN error IS NULL THEN '成功' WHEN skipped THEN '已跳过' ELSE '失败' END AS status, CASE WHEN error IS NULL THEN 'out-' || file_name ELSE '—' END AS target_file, CASE WHEN skipped THEN '' ELSE coalesce(error, '') END AS error FROM admitted")
+def report_overview(spark: SparkSession, d: str) -> DataFrame:
+    out = report.overview(_reports(spark, d))
+    return out.select(*(F.col(c).alias(n) for c, n in (("源文件", "source_file"), ("状态", "status"), ("输出文件", "target_file"), ("错误", "error"))))
+
+
+@query(f"""WITH {A.JOBS_SQL} SELECT file_name, CASE source_format WHEN 'txt' THEN 'TXT' WHEN 'markdown' THEN 'Markdown' WHEN 'docx' THEN 'DOCX' WHEN 'pdf' THEN 'PDF' ELSE 'unknown' END AS format,
+  CASE WHEN length < 1024 THEN length || ' B' WHEN length < 1048576 THEN printf('%.1f KB', length / 1024) ELSE printf('%.1f MB', length / 1048576) END AS size, CASE WHEN source_format = target_format THEN '源格式与目标格式相同' ELSE '等待转换' END AS state FROM admitted""")
+def upload_preview(spark: SparkSession, d: str) -> DataFrame:
+    own = admission.admit(A.jobs(spark, d), F.col("target_format"))
+    out = report.preview(own.select("file_name", F.col("length").cast("long").alias("length"), "source_format", "target_format"), F.col("target_format"))
+    return out.select(*(F.col(c).alias(n) for c, n in (("文件名", "file_name"), ("源格式", "format"), ("大小", "size"), ("处理状态", "state"))))
+
+
 @query()
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     return report.report_json(_reports(spark, d))
