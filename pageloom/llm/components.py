@@ -61,10 +61,11 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
     pairs = scratch.keep(short_pairs(postings, common, total["n"]), "pairs")
     best = scratch.keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
     links = scratch.keep(verify(best), "links")
-    groups = components(links, scratch)
-    label = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"group_{c}"))
+    near = scratch.keep(least_neighbours(links), "near")
+    label = lambda c: near.select(F.col("id").alias(c), F.col("component").alias(f"group_{c}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = scratch.keep(rest.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b"), "pairs")
+    group_a, group_b = F.coalesce("group_a", "a"), F.coalesce("group_b", "b")
+    rest = scratch.keep(rest.where((group_a != group_b) & (group_b != F.col("a")) & (group_a != F.col("b"))).select("a", "b"), "pairs")
     links = links.unionAll(scratch.keep(verify(rest), "links"))
     scratch.drop(pairs, best, rest)
     if not total["n"]:
@@ -72,12 +73,18 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
     if common > 1:  # two ids of common lists still have one without each one's largest
         largest = long.groupBy("id").agg(F.max(F.struct("n", "key")).alias("l")).select("id", F.col("l.key").alias("key"))
         long = scratch.keep(long.join(largest, ["id", "key"], "left_anti"), "long")
-    members = relabelled(long.select("key", "id"), links, scratch)
     if total["pairs"] > 2 * PER_POSTING * total["n"]:
-        met = scratch.keep(verify(scratch.keep(ordered(centre_pairs(members, scratch)), "pairs")), "links")
-        links = links.unionAll(met)
-        members = relabelled(long.select("key", "id"), links, scratch)
-    return links.unionAll(scratch.keep(compare(open_lists(members, scratch)), "links"))
+        members = scratch.keep(labelled(long, least_neighbours(links)), "labelled")
+        links = links.unionAll(scratch.keep(verify(scratch.keep(ordered(centre_pairs(members, scratch)), "pairs")), "links"))
+    groups = scratch.keep(components(links, scratch), "groups")
+    found = scratch.keep(compare(open_lists(scratch.keep(labelled(long, groups), "labelled"), scratch)), "links")
+    # what is known of the components stands for the links that made them
+    return groups.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(found)
+
+
+def least_neighbours(links: DataFrame) -> DataFrame:
+    """id, component: the least id that each larger one is linked with, which is in its component; in one step."""
+    return links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
 
 
 def short_pairs(postings: DataFrame, common: int, long: int) -> DataFrame:
@@ -92,16 +99,15 @@ def short_pairs(postings: DataFrame, common: int, long: int) -> DataFrame:
     return pairs.where((F.col("n") >= common) | F.col("hot")).select("a", "b", "n")
 
 
-def relabelled(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """The members (key, id) with group: their component so far."""
-    groups = components(links, scratch)
-    return scratch.keep(members.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group")), "labelled")
+def labelled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members (key, id) with group: what is known of their component."""
+    return members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
 
 
-def open_lists(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+def open_lists(members: DataFrame, scratch: Scratch) -> DataFrame:
     """The members (key, id, group) of lists that have several groups."""
-    keys = scratch.keep(labelled.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key"), "open")
-    return labelled.join(keys, "key")
+    keys = scratch.keep(members.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key"), "open")
+    return members.join(keys, "key")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -129,10 +135,10 @@ def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float,
     return x.join(y, "key").where("(level_x = level_y AND block_x <= block_y OR level_y = level_x + 1) AND (owner_x IS NULL OR owner_y IS NULL OR owner_x <> owner_y)").select("key", "docs_x", "docs_y")
 
 
-def centre_pairs(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+def centre_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Each member (x) with those centres (y) of its lists that are not in its group."""
     nearest = [F.min_by(F.struct("id", "group"), F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
-    centres = scratch.keep(labelled.groupBy("key").agg(*[c.alias(f"c{k}") for k, c in enumerate(nearest)]), "centres")
+    centres = scratch.keep(members.groupBy("key").agg(*[c.alias(f"c{k}") for k, c in enumerate(nearest)]), "centres")
     own = F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))
-    met = labelled.join(centres, "key").select("id", F.explode(F.filter(own, lambda c: c["group"] != F.col("group"))).alias("c"))
+    met = members.join(centres, "key").select("id", F.explode(F.filter(own, lambda c: c["group"] != F.col("group"))).alias("c"))
     return met.select(F.col("id").alias("x"), F.col("c.id").alias("y"))
