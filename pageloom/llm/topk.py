@@ -7,7 +7,7 @@ their distance, and so gives an upper bound of their inner product:
 bounds and stops, exactly, once the k-th best score is over the next bound.
 
 A query's first bar is its k-th best score among a sample of the rows, which the pivots
-come from; its best scores go with it from block to block of a task. On vectors in
+come from; its best scores go with it from block to block of a slot. On vectors in
 clusters most candidates fall to the bounds. Where all vectors are about equally far
 from each other, such as random ones of 64 dimensions, the bounds of any pivots lie
 above the best scores, and nearly all candidates are evaluated: the result is as exact.
@@ -23,7 +23,6 @@ beyond 64 bits are held at their ends.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +37,9 @@ PIVOT_SAMPLE = 2048
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Candidates that are evaluated at once.
 STEP = 256
-#: Query blocks whose best scores a task holds.
-HELD = 64
-_BLOCKS = "dim int, ids binary, numbers binary, vectors binary, bounds binary"
-_SAFE = 1 << 26
+#: Bytes of the candidates of a slot, as floats, and the most of their blocks; a small table still has SLOTS slots.
+SLOT_BYTES, SLOT_BLOCKS, SLOTS = 1 << 26, 16, 12
+_BLOCKS = "dim int, width int, ids binary, numbers binary, vectors binary"
 
 
 def integers(rows: pa.Array, scale: int) -> list[np.ndarray | None]:
@@ -110,11 +108,22 @@ def best_of(q_ids, queries, q_bounds, ids, rows, bounds, most: int, bars) -> Ite
         yield ids[at], got, (ids[at] == qid) & (rows[at] == q).all(axis=1), evaluated
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Integers that are held as floats, in the smallest type that holds them."""
+    most = np.abs(x).max(initial=0)
+    return x.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64)
+
+
+def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.linalg.norm(rows - p, axis=1) for p in pivots], axis=1) if len(pivots) else np.empty((len(rows), 0))
+
+
 def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank from 1, vec_id, score: each query row's k highest inner products.
 
-    Query blocks meet every slot of candidate blocks in an equi-join; a pair of blocks
-    leaves k rows a query, and the best of them are ranked per query.
+    Candidate blocks are dealt to slots, query blocks to each slot; a task reads a slot's
+    candidates and then its queries one block at a time, so neither the driver nor a task
+    holds all queries. A slot leaves k rows a query, and the best of them are ranked per query.
     """
     number = F.monotonically_increasing_id()  # of the scan, so that it is the same when a task runs again
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), queries.alias("q"), number.alias("number")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -131,11 +140,9 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
 
             def packed(n: int) -> pa.RecordBatch:
                 part, held[n] = held[n], []
-                x = np.array([v for *_, v in part]).reshape(len(part), n)
-                p = known.value[n][0] if n in known.value else np.empty((0, n))
-                far = np.stack([np.linalg.norm(x - r, axis=1) for r in p], axis=1) if len(p) else np.empty((len(x), 0))
+                x = narrow(np.array([v for *_, v in part]).reshape(len(part), n))
                 ids, numbers = (np.array([r[k] for r in part], np.int64).tobytes() for k in (0, 1))
-                return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([b], pa.binary()) for b in (ids, numbers, x.tobytes(), far.tobytes()))], ["dim", "ids", "numbers", "vectors", "bounds"])
+                return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([x.itemsize], pa.int32()), *(pa.array([b], pa.binary()) for b in (ids, numbers, x.tobytes()))], ["dim", "width", "ids", "numbers", "vectors"])
 
             for b in batches:
                 for i, number, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), integers(b.column(1), scale), strict=True):
@@ -149,36 +156,43 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
         return run
 
     totals = rows.agg(F.count("*"), F.count_if("q")).first()
-    slots = max(1, math.ceil(totals[0] / (4 * BLOCK)))
+    held = min(SLOT_BLOCKS, max(1, SLOT_BYTES // (8 * BLOCK * max([1, *by_length]))))
+    slots = max(1, math.ceil(totals[0] / (held * BLOCK)), min(SLOTS, math.ceil(totals[0] / BLOCK)))
     candidates = rows.select("id", "v", "number").mapInArrow(blocks(BLOCK), _BLOCKS).withColumn("slot", F.pmod(F.xxhash64("ids", "numbers"), F.lit(slots)).cast("int"))
     asked = rows.where("q").select("id", "v", "number").repartition(max(1, math.ceil(totals[1] / QUERY_BLOCK))).mapInArrow(blocks(QUERY_BLOCK), _BLOCKS)
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("dim"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "numbers", "vectors", "bounds")))
-    pairs = candidates.join(asked, ["slot", "dim"]).select("dim", "ids", "vectors", "bounds", "q_ids", "q_numbers", "q_vectors", "q_bounds")
+    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    both = candidates.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1)))
+    both = both.repartition(slots, "slot").sortWithinPartitions("slot", "dim", "asks").select("slot", "dim", "asks", "width", "ids", "numbers", "vectors")
     most = k + 1  # a query's own row among them
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: OrderedDict[bytes, list[np.ndarray]] = OrderedDict()  # of some query blocks: each query's best scores so far
+        there, candidates = None, []  # the slot and length that are read, and its candidate blocks: ids, vectors, bounds
         for b in batches:
             for n in range(b.num_rows):
-                dim, *raw = (c[n].as_py() for c in b.columns)
-                ids, x, bounds, q_ids, numbers, q, q_bounds = (np.frombuffer(r, t) for r, t in zip(raw, (np.int64, np.float64, np.float64, np.int64, np.int64, np.float64, np.float64), strict=True))
-                x, q, bounds, q_bounds = x.reshape(len(ids), dim), q.reshape(len(q_ids), dim), bounds.reshape(len(ids), -1), q_bounds.reshape(len(q_ids), -1)
-                if raw[4] in best:
-                    scores = best[raw[4]]
-                    bars = [s[-1] if len(s) == most else -np.inf for s in scores]
-                    best.move_to_end(raw[4])
-                else:
-                    scores = [np.empty(0, np.int64)] * len(q)
-                    bars = first_bars(q, known.value[dim][1], most) if dim in known.value else np.full(len(q), -np.inf)
-                    if len(best) == HELD:
-                        best.popitem(last=False)
-                found = list(best_of(q_ids, q, q_bounds, ids, x, bounds, most, bars))
-                best[raw[4]] = [np.sort(np.concatenate([s, f[1]]))[::-1][:most] for s, f in zip(scores, found, strict=True)]
-                sizes = [len(f[0]) for f in found]
-                columns = [np.repeat(numbers, sizes), np.repeat(q_ids, sizes), *(np.concatenate(c) for c in list(zip(*found, strict=True))[:3])]
+                slot, dim, asks, width, *raw = (c[n].as_py() for c in b.columns)
+                ids, numbers = (np.frombuffer(r, np.int64) for r in raw[:2])
+                x = np.frombuffer(raw[2], {2: np.int16, 4: np.int32, 8: np.float64}[width]).astype(np.float64).reshape(len(ids), dim)
+                if there != (slot, dim):
+                    there, candidates = (slot, dim), []
+                pivots, some = known.value.get(dim, (np.empty((0, dim)), np.empty((0, dim))))
+                bounds = distances(x, pivots)
+                if not asks:
+                    candidates.append((ids, x, bounds))
+                    continue
+                best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))] * len(x)
+                bars = first_bars(x, some, most)
+                for block in candidates:
+                    for at, (i, scores, own, _) in enumerate(best_of(ids, x, bounds, *block, most, bars)):
+                        i, scores, own = (np.concatenate(c) for c in zip(best[at], (i, scores, own), strict=True))
+                        top = ranked(i, scores)[:most]
+                        best[at] = i[top], scores[top], own[top]
+                        if len(top) == most:
+                            bars[at] = max(bars[at], scores[top[-1]])
+                sizes = [len(f[0]) for f in best]
+                columns = [np.repeat(numbers, sizes), np.repeat(ids, sizes), *(np.concatenate(c) for c in zip(*best, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["number", "query_id", "vec_id", "score", "own"])
 
-    found = pairs.mapInArrow(search, "number long, query_id long, vec_id long, score long, own boolean")
+    found = both.mapInArrow(search, "number long, query_id long, vec_id long, score long, own boolean")
     own = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id", F.desc("own"))
     found = found.withColumn("place", F.row_number().over(own)).where(F.col("place") <= most)
     # one row that equals the query, its own, takes no place

@@ -157,6 +157,25 @@ def test_bounds_eliminate_candidates_of_clusters():
     assert share < 0.25
 
 
+def test_queries_are_streamed_not_broadcast(spark, monkeypatch):
+    """All slots see all queries in an exchange, whatever the broadcast threshold, and the result is exact."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "SLOT_BLOCKS", 2, raising=False)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    x[1500:1520], x[2000] = x[0], x[0] * 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    out = topk.top_k(df, F.pmod("vec_id", F.lit(100)) == 0)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    ints = [[int(v) for v in np.floor(1024 * row)] for row in x]
+    for q in range(0, 3000, 100):
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in enumerate(ints) if i != q)[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in scores]
+    assert len(got) == 300
+
+
 def shingles(t):
     w = t.lower().split()
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
