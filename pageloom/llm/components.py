@@ -10,18 +10,26 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import Scratch
 
 
+#: Edges that one task can take in every step.
+SMALL = 1 << 18
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component (the smallest id reachable) for the ids of links (a, b); a link to itself is none.
 
     Alternating large-star and small-star steps, a distributed union-find: every edge
     runs from a child to a smaller parent, until each child has one parent, which is
     no child. A step's minimum is aggregated before it meets the edges again, as a
-    written table, so that a join on a hub can be split.
+    written table, so that a join on a hub can be split. At most SMALL edges are one
+    partition, whose steps need no exchange.
     """
     a, b = F.col("a"), F.col("b")
     edges = scratch.keep(links.where(a != b).select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).distinct(), "edges")
+    few = edges.count() <= SMALL
+    edges = edges.coalesce(1) if few else edges
+    keep = lambda df, name: scratch.keep(df, name).coalesce(1) if few else scratch.keep(df, name)
     while True:
-        least = scratch.keep(edges.groupBy("child").agg(F.min("parent").alias("least"), F.count("*").alias("n")), "least")
+        least = keep(edges.groupBy("child").agg(F.min("parent").alias("least"), F.count("*").alias("n")), "least")
         over = least.select(F.col("child").alias("parent"), F.col("least").alias("higher"))
         most = least.agg(F.max("n")).first()[0]
         if most is None or most == 1 and edges.join(over, "parent", "left_semi").isEmpty():
@@ -29,7 +37,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         large = edges.join(over, "parent", "left").select("child", F.coalesce("higher", "parent").alias("parent")).distinct()
         root = large.groupBy("child").agg(F.min("parent").alias("root"))
         small = large.join(root, "child").where(F.col("parent") != F.col("root")).select(F.col("parent").alias("child"), F.col("root").alias("parent"))
-        new = scratch.keep(small.unionAll(root.select("child", "root")).distinct(), "edges")
+        new = small.unionAll(root.select("child", "root"))
+        new = keep((new.coalesce(1) if few else new).distinct(), "edges")
         scratch.drop(edges, least)
         edges = new
 
@@ -42,13 +51,12 @@ PER_POSTING = 4
 LONG = 32
 
 
-def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], scratch: Scratch, common: int = 1) -> DataFrame:
+def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """The verified links (a, b) that connect whatever true links among documents of one posting list connect.
 
     postings: key, id (different rows), n (the list's members). verify: pairs (a, b) to
     those that are links. compare: members of long lists (key, id, group) to the links
-    between different groups of a list, without a row for each pair. common: lists that
-    two ids must share to be a pair; ids that are both in long lists need but one.
+    between different groups of a list, without a row for each pair.
 
     Short lists give all their pairs: first each id's best one, then those of ids that are
     not in one component by now. In a long list every member first meets the list's
@@ -58,7 +66,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
     """
     long = postings.where(F.col("n") > LONG)
     total = long.agg(F.count("*").alias("n"), F.sum("n").alias("pairs")).first()
-    pairs = scratch.keep(short_pairs(postings, common, total["n"]), "pairs")
+    pairs = scratch.keep(short_pairs(postings), "pairs")
     best = scratch.keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
     links = scratch.keep(verify(best), "links")
     near = scratch.keep(least_neighbours(links), "near")
@@ -70,9 +78,6 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
     scratch.drop(pairs, best, rest)
     if not total["n"]:
         return links
-    if common > 1:  # two ids of common lists still have one without each one's largest
-        largest = long.groupBy("id").agg(F.max(F.struct("n", "key")).alias("l")).select("id", F.col("l.key").alias("key"))
-        long = scratch.keep(long.join(largest, ["id", "key"], "left_anti"), "long")
     if total["pairs"] > 2 * PER_POSTING * total["n"]:
         members = scratch.keep(labelled(long, least_neighbours(links)), "labelled")
         links = links.unionAll(scratch.keep(verify(scratch.keep(ordered(centre_pairs(members, scratch)), "pairs")), "links"))
@@ -87,16 +92,11 @@ def least_neighbours(links: DataFrame) -> DataFrame:
     return links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
 
 
-def short_pairs(postings: DataFrame, common: int, long: int) -> DataFrame:
-    """a, b, n: pairs of members of short lists with the number of these; at least `common`, or one if both ids are in long lists, too."""
-    short, hot = postings.where(F.col("n") <= LONG).select("key", "id"), F.lit(False)
-    if long and common > 1:
-        ids = postings.where(F.col("n") > LONG).select("id").distinct().withColumn("hot", F.lit(True))
-        short, hot = short.join(ids, "id", "left"), F.coalesce("hot", hot)
-    short = short.select("key", "id", hot.alias("hot"))
-    x, y = (short.select("key", F.col("id").alias(c), F.col("hot").alias(f"hot_{c}")) for c in "ab")
-    pairs = x.join(y, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.col("hot_a") & F.col("hot_b")).alias("hot"))
-    return pairs.where((F.col("n") >= common) | F.col("hot")).select("a", "b", "n")
+def short_pairs(postings: DataFrame) -> DataFrame:
+    """a, b, n: pairs of members of short lists with the number of these."""
+    short = postings.where(F.col("n") <= LONG).select("key", "id")
+    x, y = (short.select("key", F.col("id").alias(c)) for c in "ab")
+    return x.join(y, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def labelled(members: DataFrame, groups: DataFrame) -> DataFrame:

@@ -6,16 +6,21 @@ characters or more (a parameter; shorter ones are alike by chance) are near copi
 if the sets of their runs of 5 characters, at all places, have a Jaccard similarity of
 at least 0.8.
 
-A class has a signature of 25 MinHash values: the least hash under each of 25 orders.
-The values are the points of a plane over the numbers modulo 5, whose 30 straight lines
-are the bands, 5 values each; two bands have one value in common at most. Classes that
-agree in two bands, 9 values or more, are candidates, and every candidate is confirmed by
-the exact similarity of the sets. Components of confirmed links keep their first line,
-by document id and line number.
-
-Two lines of similarity 0.8 are candidates with probability of about 0.985, of 0.85
-with 0.998, wherever they differ and with or without spaces. Of large groups of copies,
-all links between lines of one list are followed; none is capped.
+A class has a signature of 18 MinHash values, each the least hash of its runs of 9
+characters, at all places, under an order of its own. Lines in a natural language share
+many runs of 5 characters by chance, but few of 9, so that candidates grow far less with
+the square of the lines. The values are the points of two planes over the numbers modulo
+3, whose 24 straight lines are the bands, 3 values each. Classes that agree in a band are
+candidates, and every candidate is confirmed by the exact similarity of the sets of runs
+of 5. Components of confirmed links keep their first line, by document id and line number.
+
+Of lines with changed characters and a similarity of 0.8 to 0.83, some 98.5 % are
+candidates, of all over 0.8 more than 99.7 %, wherever they differ and with or without
+spaces. Lines that repeat their runs can be alike in runs of 5 alone (a line of zeros and
+ones has 32 of them): these, lines of more than 4096 characters and those of less than 20
+have 25 values of the runs of 5 too, on a plane over the numbers modulo 5 with 30 bands,
+one of which finds those of similarity 0.8 with probability over 0.985. Of large groups
+of copies, what all links between lines of one list join is joined; none is capped.
 
 A document's lines end at "\n"; null texts have none. Rows with a null id keep all
 their lines. Rows that share an id are one document: of equal lines in them, the one
@@ -26,9 +31,10 @@ with the smaller number is first, and all rows lose the same line numbers. Equal
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import Scratch, fresh
@@ -36,12 +42,14 @@ from pageloom.llm.components import block_pairs, components, linked
 
 LEAST_CHARS = 20
 SHINGLE = 5
-#: Values of a band, a prime; there are PLANE * PLANE values and PLANE * (PLANE + 1) bands.
+#: Characters of the runs of the first signature, the values of its bands, a prime, and its planes.
+RUN, FIRST_PLANE, PLANES = 9, 3, 2
+#: Values of a band of repetitive lines, a prime; there are PLANE * PLANE values and PLANE * (PLANE + 1) bands.
 PLANE = 5
-#: Bands in which candidates agree.
-COMMON = 2
 #: Bands that are posted in one pass over the signatures, so that the disk holds the shuffle of a part of them.
-AT_ONCE = 10
+AT_ONCE = 12
+#: Lines of more runs are posted as if they were repetitive.
+LONG_LINE = 4096
 SIMILAR = 0.8
 #: Lines of a block, of which two are compared at once.
 BLOCK = 64
@@ -49,8 +57,14 @@ BLOCK = 64
 _RANDOM = random.Random(17)
 #: An order of the hashes is that of their exclusive or with one of these.
 ORDERS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(PLANE * PLANE)]
-#: The values of each band: the straight lines y = m x + b, and those of equal x.
-BANDS = [[x * PLANE + (m * x + b) % PLANE for x in range(PLANE)] for m in range(PLANE) for b in range(PLANE)] + [[x * PLANE + y for y in range(PLANE)] for x in range(PLANE)]
+
+
+def bands(plane: int, start: int = 0) -> list[list[int]]:
+    """The values of each band, from `start` on: the straight lines y = m x + b, and those of equal x."""
+    return [[start + x * plane + (m * x + b) % plane for x in range(plane)] for m in range(plane) for b in range(plane)] + [[start + x * plane + y for y in range(plane)] for x in range(plane)]
+
+
+BANDS = [band for k in range(PLANES) for band in bands(FIRST_PLANE, k * FIRST_PLANE**2)]
 
 
 def compared(line: Column) -> Column:
@@ -65,27 +79,54 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """lid, sig: the MinHash values of lines (lid, line), aggregated from a row for each run of characters.
+    """lid, sig, n (runs of 5), bits, some, repeats: the MinHash values of lines (lid, line), aggregated from a row for each run of characters.
 
     A run is cut out of the line's code points of 4 bytes each, which takes the same
-    time at every place. The values are 32 bits wide.
+    time at every place. The values are 32 bits wide. Two bitmaps of 64 bits, of all
+    runs of 5 and of an eighth of them, tell lines that repeat their runs.
     """
+    h = hashes(lines, RUN).withColumn("x", F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))))
+    bits = [F.expr("bit_or(shiftleft(1L, cast(x & 63 AS int)))").alias("bits"), F.expr("bit_or(if(x & 448 = 0, shiftleft(1L, cast(shiftright(x, 9) & 63 AS int)), 0L))").alias("some")]
+    least = h.groupBy("lid").agg(*least_hashes(PLANES * FIRST_PLANE**2), *bits, F.max((F.length("codes") / 4).cast("int") - (SHINGLE - 1)).alias("n"))
+    full = lambda n: 64 * (1 - F.exp(-n / 64))  # noqa: E731  the bits that n different runs set, on average
+    short = (F.col("n") <= 200) & (F.bit_count("bits") < 0.85 * full(F.col("n")) - 1)
+    repeats = short | (F.col("n") > 200) & (F.bit_count("some") < 0.6 * full(F.col("n") / 8)) | (F.col("n") > LONG_LINE) | (F.col("n") < LEAST_CHARS - SHINGLE + 1)
+    return least.select("lid", values_of(PLANES * FIRST_PLANE**2), "n", "bits", "some", repeats.alias("repeats"))
+
+
+def hashes(lines: DataFrame, size: int) -> DataFrame:
+    """lid, codes, at, h: a row for each run of SHINGLE characters, with the hash of the run of `size` characters there, if the line has that many."""
     codes = lines.select("lid", F.encode("line", "UTF-32").alias("codes"))
     last = (F.length("codes") / 4).cast("int") - SHINGLE
     runs = codes.where(last >= 0).select("lid", "codes", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    h = runs.select("lid", F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
-    least = h.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(ORDERS)])
-    return least.select("lid", F.array(*[F.shiftright(f"m{k}", 16).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(len(ORDERS))]).alias("sig"))
+    own = F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, F.lit(4 * size)))
+    return runs.withColumn("h", own if size == SHINGLE else F.when((F.col("at") + size) * 4 <= F.length("codes"), own))
+
+
+def least_hashes(n: int) -> list[Column]:
+    return [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(ORDERS[:n])]
+
+
+def values_of(n: int) -> Column:
+    return F.array(*[F.shiftright(f"m{k}", 16).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(n)]).alias("sig")
+
 
+def repeated_signatures(texts: DataFrame) -> DataFrame:
+    """lid, sig: the MinHash values of the runs of SHINGLE characters of lines (lid, line)."""
+    return hashes(texts, SHINGLE).groupBy("lid").agg(*least_hashes(len(ORDERS))).select("lid", values_of(len(ORDERS)))
 
-def posted(sketches: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, id, n: each line under those of its bands that other lines have, with the number of lines; some bands at a time."""
+
+def posted(sketches: DataFrame, of: list[list[int]], scratch: Scratch) -> DataFrame:
+    """key, id, n: each line under those of its bands that other lines have, with the number of lines; some bands at a time.
+
+    One sort counts a list and leaves its members in place; a large one spills, as its task holds a few rows only.
+    """
     parts = []
-    for start in range(0, len(BANDS), AT_ONCE):
-        keys = F.array(*[F.xxhash64(F.lit(start + k), *[F.get("sig", F.lit(i)) for i in band]) for k, band in enumerate(BANDS[start : start + AT_ONCE])])
-        values = sketches.select(F.col("lid").alias("id"), F.explode(keys).alias("key"))
-        shared = scratch.keep(values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-        parts.append(scratch.keep(values.join(shared, "key").select("key", "id", "n"), "postings"))
+    for start in range(0, len(of), AT_ONCE):
+        keys = F.array(*[F.xxhash64(F.lit(len(of)), F.lit(start + k), *[F.get("sig", F.lit(i)) for i in band]) for k, band in enumerate(of[start : start + AT_ONCE])])
+        values = sketches.where(F.get("sig", F.lit(0)).isNotNull()).select(F.col("lid").alias("id"), F.explode(keys).alias("key"))
+        counted = values.select("key", "id", F.count("*").over(Window.partitionBy("key")).alias("n"))
+        parts.append(scratch.keep(counted.where("n > 1"), "postings"))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -105,46 +146,69 @@ def near(x: Column, y: Column, least: float = SIMILAR) -> Column:
     return most & (F.size(F.array_intersect(x, y)) * (1 + least) >= least * (F.size(x) + F.size(y)) - 1e-9)
 
 
+def of_line(p: Column) -> Callable[[str], Column]:
+    return lambda c: p["bitmap"][c]
+
+
+def may_be_near(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """False for lines (n, bits, some) that aren't similar, without their sets.
+
+    Of similar sets, at most 0.25 times the smaller one is in one only, and each such run
+    changes a bit at most; of an eighth of all runs, as many as chance leaves, with five
+    standard deviations above.
+    """
+    apart = F.least(x("n"), y("n")) * (1 / SIMILAR - 1) + 1e-9
+    return (F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= apart) & (F.bit_count(x("some").bitwiseXOR(y("some"))) <= apart / 8 + 5 * F.sqrt(apart / 8) + 1)
+
+
 def similar(a: Column, b: Column) -> Column:
     """Whether two lines are near copies. The sets are bound to a lambda's variable, so that each is made once."""
     sets = F.array(F.struct(shingles_of(a).alias("x"), shingles_of(b).alias("y")))
     return F.exists(sets, lambda s: near(s["x"], s["y"]))
 
 
-def block_links(pairs: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of two blocks' lines (id, group, set) in different groups, a group's with each other line once."""
+def block_links(pairs: DataFrame) -> DataFrame:
+    """Links (a, b) of two blocks' lines (id, group, keys, bitmap, set) in different groups, one for two groups.
+
+    Two lines that share several lists (keys) are compared in the first of these only.
+    """
 
     def of(p: Column) -> Column:
-        hits = F.filter("docs_y", lambda q: (p["group"] != q["group"]) & near(p["set"], q["set"], least))
-        return F.transform(hits, lambda q: F.struct(F.least(p["id"], q["id"]).alias("a"), F.greatest(p["id"], q["id"]).alias("b")))
+        hits = F.filter("docs_y", lambda q: (p["group"] != q["group"]) & may_be_near(of_line(p), of_line(q)) & (F.array_min(F.array_intersect(p["keys"], q["keys"])) == F.col("key")) & near(p["set"], q["set"]))
+        return F.transform(hits, lambda q: F.struct(F.least(p["group"], q["group"]).alias("a"), F.greatest(p["group"], q["group"]).alias("b")))
 
-    return pairs.select(F.explode(F.flatten(F.transform("docs_x", of))).alias("l")).select("l.a", "l.b").distinct()
+    # a group is named by one of its lines, which stands for all of them
+    return pairs.select(F.explode(F.array_distinct(F.flatten(F.transform("docs_x", of)))).alias("l")).select("l.a", "l.b").distinct()
 
 
 def groups_of(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, least_chars: int, scratch: Scratch) -> DataFrame:
     """lid, first_id, first_line of every class that has copies or near copies. found: id, line_no, lid."""
     sketches = scratch.keep(signatures(lines_of(docs, id_col, text_col).where(F.length("line") >= least_chars)), "sketches")
-    postings = posted(sketches, scratch)
+    postings = posted(sketches, BANDS, scratch)
+    repeated = scratch.keep(sketches.where("repeats").select("lid"), "repeated")
+    met = postings.select(F.col("id").alias("lid")).unionAll(repeated).distinct()
+    known = scratch.keep(sketches.select("lid", F.struct("n", "bits", "some").alias("bitmap")).join(met, "lid"), "known")
     scratch.drop(sketches)
-    known = scratch.keep(postings.select(F.col("id").alias("lid")).distinct(), "known")
     owner = F.min(F.struct("id", "line_no")).alias("owner")
     classes = scratch.keep(found.groupBy("lid").agg(owner, F.count("*").alias("n")), "classes")
-    texts = scratch.keep(class_texts(docs, classes.join(known, "lid", "left_semi"), id_col, text_col), "texts")
+    texts = scratch.keep(class_texts(docs, classes.join(known, "lid"), id_col, text_col), "texts")
+    if not repeated.isEmpty():
+        own = scratch.keep(repeated_signatures(texts.join(repeated, "lid", "left_semi")), "sketches")
+        postings = postings.unionAll(posted(own, bands(PLANE), scratch))
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}")), side)
-        return pairs.where(similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
+            pairs = pairs.join(texts.select(F.col("lid").alias(side), F.col("line").alias(f"line_{side}"), F.col("bitmap").alias(f"bitmap_{side}")), side)
+        bitmap = lambda side: lambda c: F.col(f"bitmap_{side}")[c]
+        return pairs.where(may_be_near(bitmap("a"), bitmap("b")) & similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
 
     def compare(members: DataFrame) -> DataFrame:
-        wanted = members.select(F.col("id").alias("lid")).distinct()
-        # half of each hash, to move less; what is similar by these, and a little below, is confirmed by the texts
-        half = F.transform(shingles_of(F.col("line")), lambda x: F.shiftright(x, 32).cast("int"))
-        sets = texts.join(wanted, "lid", "left_semi").select(F.col("lid").alias("id"), half.alias("set"))
+        wanted = members.groupBy(F.col("id").alias("lid")).agg(F.collect_set("key").alias("keys"))
+        sets = texts.join(wanted, "lid").select(F.col("lid").alias("id"), "keys", "bitmap", shingles_of(F.col("line")).alias("set"))
         sets = scratch.keep(sets.withColumn("n", F.size("set")), "sets")
-        return verify(scratch.keep(block_links(block_pairs(members, sets, BLOCK, SIMILAR - 0.02, scratch), SIMILAR - 0.02), "pairs"))
+        return block_links(block_pairs(members, sets, BLOCK, SIMILAR, scratch))
 
-    groups = components(linked(postings, verify, compare, scratch, COMMON), scratch)
+    groups = components(linked(postings, verify, compare, scratch), scratch)
     groups = groups.select(F.col("id").alias("lid"), "component")
     named = scratch.keep(classes.join(groups, "lid", "left").where("n > 1 OR component IS NOT NULL").select("lid", "owner", F.coalesce("component", "lid").alias("component")), "named")
     firsts = scratch.keep(named.groupBy("component").agg(F.min("owner").alias("first")), "firsts")
@@ -152,10 +216,10 @@ def groups_of(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, lea
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lid, line: the compared text of each class, from its first line's document."""
-    wanted = classes.select(F.col("owner.id").alias("id"), F.col("owner.line_no").alias("line_no"), "lid").groupBy("id").agg(F.collect_list(F.struct("line_no", "lid")).alias("wanted"))
+    """lid, line, bitmap: the compared text of each class (lid, owner, bitmap), from its first line's document."""
+    wanted = classes.select(F.col("owner.id").alias("id"), F.struct(F.col("owner.line_no").alias("line_no"), "lid", "bitmap").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    rows = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.lid").alias("lid"), compared(F.get("lines", F.col("w.line_no"))).alias("line"))
+    rows = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.lid").alias("lid"), compared(F.get("lines", F.col("w.line_no"))).alias("line"), "w.bitmap")
     return rows.where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"])
 
 

@@ -368,3 +368,32 @@ def test_near_lines_with_changed_characters(spark):
 def test_lines_of_few_shingles(spark):
     pairs = [("ab" * 15 + c * 30, "ab" * 15 + c * 30 + c) for c in "klmnop"] + [(c * 24, c * 30) for c in "rst"]
     assert near_pairs(spark, pairs) == (9, 0)
+
+
+def test_lines_that_repeat_their_runs(spark):
+    """Alike in runs of 5 alone, in an order of their own."""
+    rng = random.Random(13)
+    pairs = [tuple("".join(rng.choices("01", k=400)) for _ in "ab") for _ in range(40)]
+    near, lost = near_pairs(spark, pairs)
+    assert near == 40 and lost == 0
+
+
+def test_chance_gives_few_line_candidates(spark):
+    """Lines of common words share runs of 5 characters, but few are compared."""
+    from pageloom.llm import components
+    from pageloom.llm.common import Scratch
+
+    rng = random.Random(14)
+    words = ["".join(rng.choices(["the", "on", "er", "at", "in", "ed"], k=rng.randrange(1, 4))) for _ in range(60)]
+    lines = [(k, " ".join(rng.choices(words, k=25))) for k in range(1500)]
+    scratch = Scratch(spark, "chance")
+    sketches = linedup.signatures(spark.createDataFrame(lines, "lid long, line string"))
+    postings = linedup.posted(scratch.keep(sketches), linedup.BANDS, scratch)
+    assert components.short_pairs(postings).count() < 1500  # of 1.1 million; 2,794 shared two bands of runs of 5
+
+
+def test_block_links_grow_with_groups(spark):
+    """Two groups that are alike throughout are one link, whatever their sizes."""
+    side = lambda name, ids, group: f"array({','.join(f'named_struct(\"id\",{i}L,\"group\",{group}L,\"keys\",array(1L),\"bitmap\",named_struct(\"n\",3,\"bits\",7L,\"some\",0L),\"set\",array(1L,2L,3L))' for i in ids)}) AS {name}"
+    pairs = spark.sql(f"SELECT 1L AS key, {side('docs_x', range(30), 0)}, {side('docs_y', range(50, 80), 50)}")
+    assert [tuple(r) for r in linedup.block_links(pairs).collect()] == [(0, 50)]
