@@ -82,7 +82,8 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
         members = scratch.keep(labelled(long, least_neighbours(links)), "labelled")
         links = links.unionAll(scratch.keep(verify(scratch.keep(ordered(centre_pairs(members, scratch)), "pairs")), "links"))
     groups = scratch.keep(components(links, scratch), "groups")
-    found = scratch.keep(compare(open_lists(scratch.keep(labelled(long, groups), "labelled"), scratch)), "links")
+    members = scratch.keep(open_lists(scratch.keep(labelled(long, groups), "labelled"), scratch), "members")
+    found = scratch.keep(compare(members), "links")
     # what is known of the components stands for the links that made them
     return groups.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(found)
 
@@ -120,7 +121,6 @@ def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float,
     Large groups have blocks of their own, which do not meet each other; nor do blocks
     of sets whose sizes n are too far apart for a similarity of `similar`.
     """
-    members = scratch.keep(members, "members")
     sizes = scratch.keep(members.groupBy("key", "group").agg(F.count("*").alias("size")), "sizes")
     small = scratch.keep(sizes.where(F.col("size") <= size).groupBy("key").agg(F.sum("size").alias("rest")), "small")
     large = F.col("size") > size
