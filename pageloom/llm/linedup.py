@@ -14,10 +14,10 @@ the square of the lines. The values are the points of two planes over the number
 candidates, and every candidate is confirmed by the exact similarity of the sets of runs
 of 5. Components of confirmed links keep their first line, by document id and line number.
 
-Of lines with changed characters and a similarity of 0.8 to 0.83, some 98.5 % are
-candidates, of all over 0.8 more than 99.7 %, wherever they differ and with or without
-spaces. Lines that repeat their runs can be alike in runs of 5 alone (a line of zeros and
-ones has 32 of them): these, lines of more than 4096 characters and those of less than 20
+In a simulation, 0.2 % of 4,000 pairs of lines with changed characters were no candidates,
+7 of the 398 of similarity 0.8 to 0.83. Lines alike in runs of 5 alone, in another order,
+may be lost, unless they repeat their runs (a line of zeros and ones has 32 of them):
+such lines, those of more than 4096 characters and those of less than 20
 have 25 values of the runs of 5 too, on a plane over the numbers modulo 5 with 30 bands,
 one of which finds those of similarity 0.8 with probability over 0.985. Of large groups
 of copies, what all links between lines of one list join is joined; none is capped.
