@@ -136,9 +136,13 @@ def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float,
 
 
 def centre_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each member (x) with those centres (y) of its lists that are not in its group."""
+    """Each member (x) with those centres (y) of its lists that are not in its group, once for all lists that they share.
+
+    Members of a large group of copies share most of their lists and so their centres;
+    a member's centres are brought together before they become rows.
+    """
     nearest = [F.min_by(F.struct("id", "group"), F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
     centres = scratch.keep(members.groupBy("key").agg(*[c.alias(f"c{k}") for k, c in enumerate(nearest)]), "centres")
-    own = F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))
-    met = members.join(centres, "key").select("id", F.explode(F.filter(own, lambda c: c["group"] != F.col("group"))).alias("c"))
-    return met.select(F.col("id").alias("x"), F.col("c.id").alias("y"))
+    others = F.filter(F.array(*[f"c{k}" for k in range(CENTRES)]), lambda c: c["group"] != F.col("group"))
+    met = members.join(centres, "key").select("id", F.array_distinct(others["id"]).alias("centres")).where(F.size("centres") > 0)
+    return met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres")).select(F.col("id").alias("x"), F.explode("centres").alias("y"))

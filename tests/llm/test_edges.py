@@ -150,6 +150,16 @@ def test_components(spark):
     assert out == {**{k: 1 for k in range(1, 41)}, 50: 50, 55: 50, 60: 50}
 
 
+def test_centres_are_met_once(spark):
+    """Members that share 24 lists meet their centres once, and twice the members make twice the rows."""
+    for n in (100, 200):
+        members = spark.range(n).selectExpr("explode(sequence(0L, 23L)) AS key", "id", "if(id < 10, 0L, id) AS group").unionByName(spark.range(5, 7).selectExpr("99L AS key", "id", "0L AS group"))
+        pairs = [tuple(r) for r in components.centre_pairs(members, Scratch(spark, "t")).select("x", "y").collect()]
+        centres = {y for _, y in pairs}
+        assert len(pairs) == len(set(pairs)) <= components.CENTRES * n and len(centres) == components.CENTRES
+        assert set(pairs) == {(x, y) for x in range(n) for y in centres if x != y and max(x, y) >= 10}
+
+
 def test_licences(spark):
     assert spark.range(1).select(license.one_line(license.canonical_lines(F.lit("a licence licence licence b")))).first()[0] == "a license license license b"
     mit = dict(license.TEXTS)["MIT"]
