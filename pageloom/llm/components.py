@@ -118,8 +118,9 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float, scratch: Scratch) -> DataFrame:
     """key, docs_x, docs_y: pairs of blocks of about `size` members (key, id, group) of one list, with the columns of sets (id, n, ...).
 
-    Large groups have blocks of their own, which do not meet each other; nor do blocks
-    of sets whose sizes n are too far apart for a similarity of `similar`.
+    Large groups have blocks of their own, which do not meet each other, nor are they
+    joined to be dropped: the join's keys name both sides. Nor do blocks meet of sets
+    whose sizes n are too far apart for a similarity of `similar`.
     """
     sizes = scratch.keep(members.groupBy("key", "group").agg(F.count("*").alias("size")), "sizes")
     small = scratch.keep(sizes.where(F.col("size") <= size).groupBy("key").agg(F.sum("size").alias("rest")), "small")
@@ -130,9 +131,17 @@ def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float,
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similar))).cast("int")
     full = dealt.join(sets, "id").withColumn("level", level).groupBy("key", "block", "owner", "level").agg(F.collect_list(F.struct("id", "group", *(c for c in sets.columns if c not in ("id", "n")))).alias("docs"))
     blocks = scratch.keep(full, "blocks")
-    x, y = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "owner", "level", "docs"))) for side in "xy")
+    # the sides of a list are its large groups, and its small ones together (owner null); the blocks of the smaller of two sides are dealt to the larger
+    sides = sizes.where(large).select("key", F.col("group").alias("owner"), "size").unionAll(small.select("key", F.lit(None).cast(members.schema["group"].dataType), "rest"))
+    sides = scratch.keep(sides.select("key", F.struct("size", "owner").alias("side")), "sides")
+    p, q = (sides.select("key", F.col("side").alias(c)) for c in "pq")
+    meet = scratch.keep(p.join(q, "key").where("p < q OR p.owner IS NULL AND q.owner IS NULL").select("key", F.col("p.owner").alias("owner"), F.col("q.owner").alias("other")), "meet")
+    x, y = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "block", "owner", "level", "docs"))) for side in "xy")
+    x = meet.join(x, (F.col("key") == F.col("key_x")) & F.col("owner").eqNullSafe(F.col("owner_x"))).select("key", "other", "owner_x", "block_x", "level_x", "docs_x")
+    pairs = x.join(y, (F.col("key") == F.col("key_y")) & F.col("other").eqNullSafe(F.col("owner_y")))
     # each two blocks once; sets of one level may lie two apart by rounding only, at a ratio that is too far in any case
-    return x.join(y, "key").where("(level_x = level_y AND block_x <= block_y OR level_y = level_x + 1) AND (owner_x IS NULL OR owner_y IS NULL OR owner_x <> owner_y)").select("key", "docs_x", "docs_y")
+    once = "level_x = level_y AND block_x <= block_y OR level_y = level_x + 1"
+    return pairs.where(f"owner_x IS NULL AND owner_y IS NULL AND ({once}) OR NOT (owner_x IS NULL AND owner_y IS NULL) AND abs(level_x - level_y) <= 1").select("key", "docs_x", "docs_y")
 
 
 def centre_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:

@@ -160,6 +160,21 @@ def test_centres_are_met_once(spark):
         assert set(pairs) == {(x, y) for x in range(n) for y in centres if x != y and max(x, y) >= 10}
 
 
+def test_blocks_meet_once(spark):
+    """Of large groups, small ones and lone members, all pairs of different groups meet, in one pair of blocks."""
+    rows = [(key, k, group, 10 + k % 3) for key, groups in ((1, [0] * 40 + [100] * 30 + [200] * 30), (2, [0] * 50 + list(range(300, 320))), (3, list(range(400, 409)) + [500] * 3), (4, [0] * 25 + [100] * 25)) for k, group in enumerate(groups)]
+    members = spark.createDataFrame([(a, a * 1000 + b, c) for a, b, c, _ in rows], "key long, id long, group long")
+    sets = spark.createDataFrame([(a * 1000 + b, n) for a, b, _, n in rows], "id long, n int")
+    pairs = components.block_pairs(members, sets, 8, 0.5, Scratch(spark, "t"))
+    met = [(r.key, *sorted((x.id, y.id))) for r in pairs.collect() for x in r.docs_x for y in r.docs_y if x.group != y.group]
+    # members of one block meet on both sides of its pair with itself
+    assert set(met) == {(a, a * 1000 + b, a * 1000 + d) for a, b, c, _ in rows for e, d, f, _ in rows if a == e and b < d and c != f}
+    # both sides are keys of the join, so that a large group's own blocks are not joined to be dropped
+    assert "<=>" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    blocks = [frozenset((frozenset(x.id for x in r.docs_x), frozenset(y.id for y in r.docs_y))) for r in pairs.collect()]
+    assert len(blocks) == len(set(blocks))
+
+
 def test_licences(spark):
     assert spark.range(1).select(license.one_line(license.canonical_lines(F.lit("a licence licence licence b")))).first()[0] == "a license license license b"
     mit = dict(license.TEXTS)["MIT"]
