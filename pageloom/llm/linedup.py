@@ -44,6 +44,10 @@ LEAST_CHARS = 20
 SHINGLE = 5
 #: Characters of the runs of the first signature, the values of its bands, a prime, and its planes.
 RUN, FIRST_PLANE, PLANES = 9, 3, 2
+#: Places of a line that one row of its signature takes.
+STEP = 8
+#: Lines of more runs of 5 are told by an eighth of these to repeat them.
+MANY = 200
 #: Values of a band of repetitive lines, a prime; there are PLANE * PLANE values and PLANE * (PLANE + 1) bands.
 PLANE = 5
 #: Bands that are posted in one pass over the signatures, so that the disk holds the shuffle of a part of them.
@@ -78,42 +82,75 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "line_no", "line", F.xxhash64("line").alias("lid"))
 
 
+def places(lines: DataFrame, size: int, ahead: int) -> DataFrame:
+    """lid, last, x0, x1, ...: a row for each STEP places of lines (lid, line), with the hashes of the runs of SHINGLE characters there and at `ahead` more places.
+
+    A run is cut out of the line's code points of 4 bytes each, which takes the same time
+    at every place. The last row of a line reaches back, and takes some places twice, so
+    that runs of `size` end in the line; what lies behind `last`, the place of its last
+    run, is that one again.
+    """
+    codes = lines.select("lid", F.encode("line", "UTF-32").alias("codes"))
+    codes = codes.select("lid", "codes", ((F.length("codes") / 4).cast("int") - SHINGLE).alias("last")).where("last >= 0")
+    end = F.greatest(F.col("last") - (size - SHINGLE), F.lit(0))
+    rows = codes.select("lid", "codes", "last", F.explode(F.sequence(F.lit(0), end, F.lit(STEP))).alias("at"))
+    rows = rows.select("lid", "codes", "last", F.greatest(F.least("at", F.col("last") - (size - SHINGLE + STEP - 1)), F.lit(0)).alias("at"))
+    return rows.select("lid", "last", *[F.xxhash64(F.substring("codes", F.least(F.col("at") + k, F.col("last")) * 4 + 1, F.lit(4 * SHINGLE))).alias(f"x{k}") for k in range(STEP + ahead)])
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """lid, sig, n (runs of 5), bits, some, repeats: the MinHash values of lines (lid, line), aggregated from a row for each run of characters.
+    """lid, sig, n (runs of 5), repeats: the MinHash values of lines (lid, line).
 
-    A run is cut out of the line's code points of 4 bytes each, which takes the same
-    time at every place. The values are 32 bits wide. Two bitmaps of 64 bits, of all
-    runs of 5 and of an eighth of them, tell lines that repeat their runs.
+    The hash of a run of 9 is made of those of the runs of 5 that it begins and ends with.
+    The values are 32 bits wide. A bitmap of 64 bits of the runs of 5, or of an eighth of
+    them if they are many, tells lines that repeat their runs.
     """
-    h = hashes(lines, RUN).withColumn("x", F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))))
-    bits = [F.expr("bit_or(shiftleft(1L, cast(x & 63 AS int)))").alias("bits"), F.expr("bit_or(if(x & 448 = 0, shiftleft(1L, cast(shiftright(x, 9) & 63 AS int)), 0L))").alias("some")]
-    least = h.groupBy("lid").agg(*least_hashes(PLANES * FIRST_PLANE**2), *bits, F.max((F.length("codes") / 4).cast("int") - (SHINGLE - 1)).alias("n"))
+    gap = RUN - SHINGLE
+    rows = places(lines, RUN, gap)
+    turned = lambda x: F.shiftleft(x, 21).bitwiseOR(F.shiftrightunsigned(x, 43))
+    runs = [F.col(f"x{k}").bitwiseXOR(turned(f"x{k + gap}")) for k in range(STEP)]
+    # a line of fewer runs of 9 than STEP has the first one again
+    runs = [F.when(F.col("last") >= k + gap, x).otherwise(runs[0]).alias(f"h{k}") for k, x in enumerate(runs)]
+    some = [F.expr(f"if(x{k} & if(last < {MANY}, 0, 448) = 0, shiftleft(1L, cast(shiftright(x{k}, 9) & 63 AS int)), 0L)") for k in range(STEP)]
+    rows = rows.select("lid", "last", *runs, reduce(Column.bitwiseOR, some).alias("some"))
+    least = rows.groupBy("lid").agg(*least_hashes(PLANES * FIRST_PLANE**2), F.bit_or("some").alias("some"), (F.max("last") + 1).alias("n"))
     full = lambda n: 64 * (1 - F.exp(-n / 64))  # noqa: E731  the bits that n different runs set, on average
-    short = (F.col("n") <= 200) & (F.bit_count("bits") < 0.85 * full(F.col("n")) - 1)
-    repeats = short | (F.col("n") > 200) & (F.bit_count("some") < 0.6 * full(F.col("n") / 8)) | (F.col("n") > LONG_LINE) | (F.col("n") < LEAST_CHARS - SHINGLE + 1)
-    return least.select("lid", values_of(PLANES * FIRST_PLANE**2), "n", "bits", "some", repeats.alias("repeats"))
+    seen = F.col("n") - gap
+    short = (F.col("n") <= MANY) & (F.bit_count("some") < 0.85 * full(seen) - 1)
+    repeats = short | (F.col("n") > MANY) & (F.bit_count("some") < 0.6 * full(seen / 8)) | (F.col("n") > LONG_LINE) | (F.col("n") < LEAST_CHARS - SHINGLE + 1)
+    return least.select("lid", F.when(F.col("n") > gap, values_of(PLANES * FIRST_PLANE**2)).alias("sig"), "n", repeats.alias("repeats"))
 
 
-def hashes(lines: DataFrame, size: int) -> DataFrame:
-    """lid, codes, at, h: a row for each run of SHINGLE characters, with the hash of the run of `size` characters there, if the line has that many."""
-    codes = lines.select("lid", F.encode("line", "UTF-32").alias("codes"))
-    last = (F.length("codes") / 4).cast("int") - SHINGLE
-    runs = codes.where(last >= 0).select("lid", "codes", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    own = F.xxhash64(F.substring("codes", F.col("at") * 4 + 1, F.lit(4 * size)))
-    return runs.withColumn("h", own if size == SHINGLE else F.when((F.col("at") + size) * 4 <= F.length("codes"), own))
+def words_of(name: str, n: int = 4) -> list[str]:
+    """The columns of a bitmap of n words of 64 bits."""
+    return [f"{name}{k or ''}" for k in range(n)]
 
 
-def least_hashes(n: int) -> list[Column]:
-    return [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(ORDERS[:n])]
+def marked(texts: DataFrame) -> DataFrame:
+    """lid, bitmap (n, bits to bits3, some to some3): 256 bits set by all runs of 5 of lines (lid, line), and 256 by an eighth of these."""
+    rows = places(texts, SHINGLE, 0)
 
+    def word(k: int, mask: int) -> Column:
+        bits = [F.expr(f"if(x{i} & {mask} = {k << 6}, shiftleft(1L, cast(x{i} & 63 AS int)), 0L)") for i in range(STEP)]
+        return F.bit_or(reduce(Column.bitwiseOR, bits))
 
-def values_of(n: int) -> Column:
-    return F.array(*[F.shiftright(f"m{k}", 16).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(n)]).alias("sig")
+    words = [word(k, 3 << 6).alias(c) for k, c in enumerate(words_of("bits"))] + [word(k, 7 << 8 | 3 << 6).alias(c) for k, c in enumerate(words_of("some"))]
+    return rows.groupBy("lid").agg((F.max("last") + 1).alias("n"), *words).select("lid", F.struct("n", *words_of("bits"), *words_of("some")).alias("bitmap"))
 
 
 def repeated_signatures(texts: DataFrame) -> DataFrame:
     """lid, sig: the MinHash values of the runs of SHINGLE characters of lines (lid, line)."""
-    return hashes(texts, SHINGLE).groupBy("lid").agg(*least_hashes(len(ORDERS))).select("lid", values_of(len(ORDERS)))
+    rows = places(texts, SHINGLE, 0).select("lid", *[F.col(f"x{k}").alias(f"h{k}") for k in range(STEP)])
+    return rows.groupBy("lid").agg(*least_hashes(len(ORDERS))).select("lid", values_of(len(ORDERS)).alias("sig"))
+
+
+def least_hashes(n: int) -> list[Column]:
+    """m0, m1, ...: the least of the hashes h0, h1, ... under n orders."""
+    return [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(x)) for k in range(STEP)])).alias(f"m{i}") for i, x in enumerate(ORDERS[:n])]
+
+
+def values_of(n: int) -> Column:
+    return F.array(*[F.shiftright(f"m{k}", 16).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(n)])
 
 
 def posted(sketches: DataFrame, of: list[list[int]], scratch: Scratch) -> DataFrame:
@@ -134,8 +171,8 @@ def shingles_of(line: Column) -> Column:
     """Hashes of the different runs of SHINGLE characters; a line has at least that many."""
 
     def runs(codes: Column) -> Column:
-        last = (F.length(codes) / 4).cast("int") - SHINGLE
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda at: F.xxhash64(F.substring(codes, at * 4 + 1, F.lit(4 * SHINGLE)))))
+        starts = F.sequence(F.lit(1), F.length(codes) - 4 * SHINGLE + 1, F.lit(4))
+        return F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.substring(codes, at, F.lit(4 * SHINGLE)))))
 
     return F.get(F.transform(F.array(F.encode(line, "UTF-32")), runs), F.lit(0))
 
@@ -150,15 +187,23 @@ def of_line(p: Column) -> Callable[[str], Column]:
     return lambda c: p["bitmap"][c]
 
 
-def may_be_near(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
-    """False for lines (n, bits, some) that aren't similar, without their sets.
+def may_be_near(x: Callable[[str], Column], y: Callable[[str], Column], n: int = 4) -> Column:
+    """False for lines (n, and bits and some of n words) that aren't similar, without their sets.
 
     Of similar sets, at most 0.25 times the smaller one is in one only, and each such run
-    changes a bit at most; of an eighth of all runs, as many as chance leaves, with five
-    standard deviations above.
+    changes a bit at most, if no run of both sets it: as many as chance leaves, with five
+    standard deviations above. Lines of more than 512 runs are told by an eighth of them,
+    those of more than 16,384 are not told.
     """
+    bits = lambda by, name: reduce(Column.__add__, [F.bit_count(by(x(c), y(c))) for c in words_of(name, n)])
     apart = F.least(x("n"), y("n")) * (1 / SIMILAR - 1) + 1e-9
-    return (F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= apart) & (F.bit_count(x("some").bitwiseXOR(y("some"))) <= apart / 8 + 5 * F.sqrt(apart / 8) + 1)
+
+    def told(name: str, share: float) -> Column:
+        mean = apart * (64 * n - bits(Column.bitwiseAND, name)) * (share / (64 * n))
+        return bits(Column.bitwiseXOR, name) <= F.least(apart, mean + 5 * F.sqrt(mean) + 2)
+
+    most = F.greatest(x("n"), y("n"))
+    return F.when(most <= 512, told("bits", 1)).when(most <= 16384, told("some", 1 / 8)).otherwise(True)
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -173,8 +218,10 @@ def block_links(pairs: DataFrame) -> DataFrame:
     Two lines that share several lists (keys) are compared in the first of these only.
     """
 
+    words = sum(c.startswith("bits") for c in pairs.schema["docs_x"].dataType.elementType["bitmap"].dataType.names)
+
     def of(p: Column) -> Column:
-        hits = F.filter("docs_y", lambda q: (p["group"] != q["group"]) & may_be_near(of_line(p), of_line(q)) & (F.array_min(F.array_intersect(p["keys"], q["keys"])) == F.col("key")) & near(p["set"], q["set"]))
+        hits = F.filter("docs_y", lambda q: (p["group"] != q["group"]) & may_be_near(of_line(p), of_line(q), words) & (F.array_min(F.array_intersect(p["keys"], q["keys"])) == F.col("key")) & near(p["set"], q["set"]))
         return F.transform(hits, lambda q: F.struct(F.least(p["group"], q["group"]).alias("a"), F.greatest(p["group"], q["group"]).alias("b")))
 
     # a group is named by one of its lines, which stands for all of them
@@ -187,11 +234,12 @@ def groups_of(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, lea
     postings = posted(sketches, BANDS, scratch)
     repeated = scratch.keep(sketches.where("repeats").select("lid"), "repeated")
     met = postings.select(F.col("id").alias("lid")).unionAll(repeated).distinct()
-    known = scratch.keep(sketches.select("lid", F.struct("n", "bits", "some").alias("bitmap")).join(met, "lid"), "known")
+    known = scratch.keep(met, "known")
     scratch.drop(sketches)
     owner = F.min(F.struct("id", "line_no")).alias("owner")
     classes = scratch.keep(found.groupBy("lid").agg(owner, F.count("*").alias("n")), "classes")
     texts = scratch.keep(class_texts(docs, classes.join(known, "lid"), id_col, text_col), "texts")
+    texts = scratch.keep(texts.join(marked(texts), "lid"), "texts")
     if not repeated.isEmpty():
         own = scratch.keep(repeated_signatures(texts.join(repeated, "lid", "left_semi")), "sketches")
         postings = postings.unionAll(posted(own, bands(PLANE), scratch))
@@ -218,10 +266,10 @@ def groups_of(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, lea
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lid, line, bitmap: the compared text of each class (lid, owner, bitmap), from its first line's document."""
-    wanted = classes.select(F.col("owner.id").alias("id"), F.struct(F.col("owner.line_no").alias("line_no"), "lid", "bitmap").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
+    """lid, line: the compared text of each class (lid, owner), from its first line's document."""
+    wanted = classes.select(F.col("owner.id").alias("id"), F.struct(F.col("owner.line_no").alias("line_no"), "lid").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    rows = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.lid").alias("lid"), compared(F.get("lines", F.col("w.line_no"))).alias("line"), "w.bitmap")
+    rows = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.lid").alias("lid"), compared(F.get("lines", F.col("w.line_no"))).alias("line"))
     return rows.where(F.xxhash64("line") == F.col("lid")).dropDuplicates(["lid"])
 
 

@@ -397,3 +397,40 @@ def test_block_links_grow_with_groups(spark):
     side = lambda name, ids, group: f"array({','.join(f'named_struct(\"id\",{i}L,\"group\",{group}L,\"keys\",array(1L),\"bitmap\",named_struct(\"n\",3,\"bits\",7L,\"some\",0L),\"set\",array(1L,2L,3L))' for i in ids)}) AS {name}"
     pairs = spark.sql(f"SELECT 1L AS key, {side('docs_x', range(30), 0)}, {side('docs_y', range(50, 80), 50)}")
     assert [tuple(r) for r in linedup.block_links(pairs).collect()] == [(0, 50)]
+
+
+def test_places_take_every_run(spark):
+    """A row for eight places, of lines of any length."""
+    rng = random.Random(15)
+    lines = [(n, "".join(rng.choices("abcé中🦜", k=n))) for n in range(1, 60)]
+    df = spark.createDataFrame(lines, "lid long, line string")
+    own = {r.lid: set(r.set) for r in df.where("length(line) >= 5").select("lid", linedup.shingles_of(F.col("line")).alias("set")).collect()}
+    for size, ahead in ((linedup.SHINGLE, 0), (linedup.RUN, linedup.RUN - linedup.SHINGLE)):
+        found, rows = {}, 0
+        for r in linedup.places(df, size, ahead).collect():
+            found.setdefault(r.lid, set()).update(r[k] for k in range(2, 2 + linedup.STEP + ahead))
+            rows += 1
+        assert found == own and rows <= sum((n - size) // 8 + 1 if n >= size else 1 for n, _ in lines)
+    least = {r.lid: r.sig for r in linedup.signatures(df).collect()}
+    assert set(least) == set(own) and all((sig is None) == (n < linedup.RUN) for n, sig in least.items())
+
+
+def test_unlike_lines_are_told_apart_without_their_sets(spark):
+    """Most lines with a third of their runs in common are not compared; near copies all are."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    pairs = []
+    for n in range(400):
+        size = (6, 40, 120)[n % 3]
+        a = [word() for _ in range(size)]
+        few = rng.sample(range(size), max(1, size // 16)) if n < 300 else range(size // 2)
+        pairs.append((" ".join(a), " ".join(word() if k in few else w for k, w in enumerate(a))))
+    rows = [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)]
+    marks = linedup.marked(spark.createDataFrame(rows, "lid long, line string"))
+    x, y = (marks.where(f"lid % 2 = {k}").select(F.expr("lid div 2").alias("n"), F.col("bitmap").alias(c)) for k, c in enumerate("xy"))
+    told = {r[0]: r[1] for r in x.join(y, "n").select("n", linedup.may_be_near(lambda c: F.col("x")[c], lambda c: F.col("y")[c])).collect()}
+    grams = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    alike = [len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in pairs]
+    assert sum(s >= 0.8 for s in alike) > 150 and all(told[n] for n, s in enumerate(alike) if s >= 0.8)
+    far = [told[n] for n, s in enumerate(alike) if n >= 300 and n % 3]
+    assert 0.25 < max(alike[300:]) < 0.5 and sum(far) <= 0.2 * len(far)
