@@ -64,7 +64,7 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
     with a few pairs a member. What is not in one component after that is compared block
     by block: no link is lost.
     """
-    long = postings.where(F.col("n") > LONG)
+    long = scratch.keep(postings.where(F.col("n") > LONG), "long")
     total = long.agg(F.count("*").alias("n"), F.sum("n").alias("pairs")).first()
     pairs = scratch.keep(short_pairs(postings), "pairs")
     best = scratch.keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
@@ -79,8 +79,8 @@ def linked(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], compar
     if not total["n"]:
         return links
     if total["pairs"] > 2 * PER_POSTING * total["n"]:
-        members = scratch.keep(labelled(long, least_neighbours(links)), "labelled")
-        links = links.unionAll(scratch.keep(verify(scratch.keep(ordered(centre_pairs(members, scratch)), "pairs")), "links"))
+        near = scratch.keep(least_neighbours(links), "near")
+        links = links.unionAll(scratch.keep(verify(scratch.keep(ordered(centre_pairs(long, near, scratch)), "pairs")), "links"))
     groups = scratch.keep(components(links, scratch), "groups")
     members = scratch.keep(open_lists(scratch.keep(labelled(long, groups), "labelled"), scratch), "members")
     found = scratch.keep(compare(members), "links")
@@ -144,14 +144,18 @@ def block_pairs(members: DataFrame, sets: DataFrame, size: int, similar: float,
     return pairs.where(f"owner_x IS NULL AND owner_y IS NULL AND ({once}) OR NOT (owner_x IS NULL AND owner_y IS NULL) AND abs(level_x - level_y) <= 1").select("key", "docs_x", "docs_y")
 
 
-def centre_pairs(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each member (x) with those centres (y) of its lists that are not in its group, once for all lists that they share.
+def centre_pairs(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each member (x) of lists (key, id) with those centres (y) of its lists that are not in its group, once for all lists that they share.
 
     Members of a large group of copies share most of their lists and so their centres;
-    a member's centres are brought together before they become rows.
+    a member's centres are brought together before they become rows. A group (id,
+    component) is looked up once for each centre of a list and each member, not for each
+    row of a list.
     """
-    nearest = [F.min_by(F.struct("id", "group"), F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
-    centres = scratch.keep(members.groupBy("key").agg(*[c.alias(f"c{k}") for k, c in enumerate(nearest)]), "centres")
-    others = F.filter(F.array(*[f"c{k}" for k in range(CENTRES)]), lambda c: c["group"] != F.col("group"))
-    met = members.join(centres, "key").select("id", F.array_distinct(others["id"]).alias("centres")).where(F.size("centres") > 0)
-    return met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres")).select(F.col("id").alias("x"), F.explode("centres").alias("y"))
+    nearest = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]))
+    chosen = members.groupBy("key").agg(nearest.alias("ids")).select("key", F.explode("ids").alias("id"))
+    centres = labelled(chosen, groups).groupBy("key").agg(F.collect_list(F.struct("id", "group")).alias("centres"))
+    met = members.join(scratch.keep(centres, "centres"), "key").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres"))
+    met = met.join(groups, "id", "left")
+    others = F.filter("centres", lambda c: c["group"] != F.coalesce("component", "id"))
+    return met.select(F.col("id").alias("x"), F.explode(others["id"]).alias("y"))

@@ -399,6 +399,41 @@ def test_block_links_grow_with_groups(spark):
     assert [tuple(r) for r in linedup.block_links(pairs).collect()] == [(0, 50)]
 
 
+def rows_of_left_joins(spark, run):
+    """The rows that left joins by id make in what `run` executes."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    rows, executions = 0, store.executionsList()
+    for k in range(before, executions.size()):
+        number = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "LeftOuter" in node.desc() and node.desc().count("[id#") == 2:
+                own = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                rows += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in own if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return rows
+
+
+def test_labels_are_looked_up_once_for_a_posting(spark):
+    """Not for each step of long lists, and in proportion to a group of copies, not to its square."""
+    from pageloom.llm import components
+    from pageloom.llm.common import Scratch
+
+    made = []
+    for size in (150, 300):
+        long = spark.range(24).crossJoin(spark.range(size).withColumnRenamed("id", "member")).selectExpr("id AS key", "member AS id", f"{size}L AS n")
+        postings = long.unionAll(spark.range(size).selectExpr("100 + id div 2 AS key", "id", "2L AS n"))
+        scratch = Scratch(spark, "labels")
+        postings, found = scratch.keep(postings), []
+        none = lambda members: members.selectExpr("id AS a", "id AS b").limit(0)
+        made.append(rows_of_left_joins(spark, lambda: found.extend(components.components(components.linked(postings, lambda pairs: pairs, none, scratch), scratch).collect())))
+        assert {tuple(r) for r in found} == {(k, 0) for k in range(size)}
+    assert 24 * 300 <= made[1] <= 1.2 * 24 * 300 and made[1] <= 2.2 * made[0]
+
+
 def test_places_take_every_run(spark):
     """A row for eight places, of lines of any length."""
     rng = random.Random(15)
