@@ -63,7 +63,9 @@ def status(success: Column, skipped: Column) -> Column:
 
 
 def shown_size(size: Column) -> Column:
-    return F.when(size < 1024, F.concat(size, F.lit(" B"))).when(size < 1024 * 1024, F.format_string("%.1f KB", size / 1024)).otherwise(F.format_string("%.1f MB", size / 1024 / 1024))
+    # format_number rounds the exact binary value, ties to even; format_string rounds ties up
+    tenths = lambda x: F.call_function("format_number", x, F.lit("0.0"))
+    return F.when(size < 1024, F.concat(size, F.lit(" B"))).when(size < 1024 * 1024, F.concat(tenths(size / 1024), F.lit(" KB"))).otherwise(F.concat(tenths(size / 1024 / 1024), F.lit(" MB")))
 
 
 # Names of formats as they are shown, and the columns of the overview.

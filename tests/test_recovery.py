@@ -146,6 +146,13 @@ def test_overview_and_preview(spark):
     assert [tuple(r) for r in shown] == [("a.txt", "TXT", "2.0 KB", report.SAME), ("b", "unknown", "1 B", report.WAITING)]
 
 
+def test_shown_sizes_round_ties_to_even(spark):
+    sizes = [0, 1023, 1024, 1280, 1792, 2304, 256 * 4097, 1048575, 1048576, 1310720, 1835008, 3407872, 52428800 + 262144]
+    shown = spark.createDataFrame([(n,) for n in sizes], "n long").select(report.shown_size(F.col("n"))).collect()
+    python = [f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1048576 else f"{n / 1048576:.1f} MB" for n in sizes]
+    assert [r[0] for r in shown] == python
+
+
 def test_formal_scores(spark):
     reference = spark.createDataFrame([(1, 1, "abcdefghij"), (1, 2, "klm nop"), (2, 1, "x"), (3, 1, "abcdefghij")], "doc_id long, page_number int, text string")
     output = spark.createDataFrame([(1, 1, "abcdefghiX\n", "m2", "standard"), (1, 2, "klmnop", "m1", "standard"), (2, 1, "x", None, None), (2, 2, "y", None, None), (3, 1, "abc", "m", "standard")], "doc_id long, page_number int, text string, recognition_model string, preprocessing_profile string")
