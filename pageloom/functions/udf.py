@@ -19,3 +19,27 @@ def arrow_function(kind: str):
         return apply
 
     return made
+
+
+def grouped_rows(batches, lists: int = 1, most: int = 50_000):
+    """The rows of Arrow batches: values of the plain columns, then for each of the last `lists` columns its items as tuples of fields.
+
+    About `most` items of a list are Python objects at a time; the rest stays in Arrow.
+    """
+    for b in batches:
+        plain, nested = b.columns[: b.num_columns - lists], b.columns[b.num_columns - lists :]
+        sizes = [c.value_lengths().to_pylist() for c in nested]
+        start = total = 0
+        for end in range(1, b.num_rows + 1):
+            total += sum(s[end - 1] for s in sizes)
+            if total < most and end < b.num_rows:
+                continue
+            items = [list(zip(*(f.to_pylist() for f in c.slice(start, end - start).flatten().flatten()), strict=True)) for c in nested]
+            at = [0] * lists
+            for k, values in enumerate(zip(*(c.slice(start, end - start).to_pylist() for c in plain), strict=True), start):
+                own = []
+                for m in range(lists):
+                    own.append(items[m][at[m] : at[m] + sizes[m][k]])
+                    at[m] += sizes[m][k]
+                yield *values, *own
+            start, total = end, 0

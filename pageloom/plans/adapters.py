@@ -51,7 +51,8 @@ LINES = 45
 def words(spark: SparkSession, d: str) -> DataFrame:
     """Line items as words of pages with one, two or three columns; a page takes LINES lines, the rest goes on to the next of its kind."""
     w = Window.partitionBy("l_suppkey", "columns").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    li = table(spark, d, "lineitem").withColumn("columns", (F.col("l_orderkey") % 3 + 1).cast("int")).withColumn("nth", F.row_number().over(w) - 1)
+    # dealt by document, so that what groups by page needs no further exchange
+    li = table(spark, d, "lineitem").withColumn("columns", (F.col("l_orderkey") % 3 + 1).cast("int")).repartition("l_suppkey").withColumn("nth", F.row_number().over(w) - 1)
     full = LINES * F.col("columns")
     li = li.withColumn("page_number", (F.floor(F.col("nth") / full) * 3).cast("int") + F.col("columns")).withColumn("word_idx", F.pmod("nth", full))
     line, lane, q = F.floor(F.col("word_idx") / F.col("columns")).cast("int"), F.col("word_idx") % F.col("columns"), F.col("l_quantity") % 10

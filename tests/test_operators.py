@@ -293,3 +293,45 @@ def test_three_columns_need_two_gaps():
     band = [layout.Word("ab", 20.0 + 195 * c, 50.0 + 2 * r, 185.0 + 195 * c, 52.0 + 2 * r) for r in range(14) for c in range(3)]
     assert layout.three_columns(band, 612.0, 792.0) is not None
     assert layout.three_columns([*words, *band], 612.0, 792.0) is None  # enough words below for the rule of whole pages
+
+
+def test_pages_are_folded_without_a_frame_for_each(spark):
+    """One exchange deals the words by document; a page's words are one row, in the order of word_idx, whatever else the page has."""
+    words = [(1, 1, k, f"w{k}", 60.0, 60.0 + 14 * k, 500.0, 70.0 + 14 * k, True) for k in range(4)] + [(1, 2, 0, None, None, float("nan"), 9.0, 9.0, None), (None, 1, 0, "x", 1.0, 1.0, 9.0, 9.0, True)]
+    df = spark.createDataFrame(words[::-1], "doc_id long, page_number int, word_idx int, text string, x0 double, top double, x1 double, bottom double, upright boolean")
+    assert {(r.doc_id, r.page_number): r.text for r in layout.page_texts(df, 612.0, 792.0).collect()} == {(1, 1): "w0\nw1\nw2\nw3", (1, 2): "", (None, 1): "x"}
+    tables = spark.createDataFrame([(2, 1, "lines", 50.0, 100.0, 300.0, 200.0, [["a", None], ["b", "1"], ["c", "2"]])], "doc_id long, page_number int, strategy string, x0 double, top double, x1 double, bottom double, rows array<array<string>>")
+    out = {(r.doc_id, r.page_number): r for r in layout.page_texts(df, 612.0, 792.0, tables).collect()}
+    assert len(out) == 4 and out[2, 1].text == "a\t\nb\t1\nc\t2" and out[2, 1].complex_table_count == 1 and out[1, 1].text == "w0\nw1\nw2\nw3"
+    plan = layout.page_texts(df, 612.0, 792.0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_words_are_dealt_once(spark):
+    from comparing import DATA
+    from pageloom.plans import catalogue
+
+    plan = catalogue.page_layout(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_gutters_equal_all_candidates():
+    import random
+    from statistics import median
+
+    rng, found = random.Random(4), 0
+    for _ in range(300):
+        n = rng.randint(4, 40)
+        own = [layout.Block("x" * rng.randint(1, 9), 40.0 + 280 * (k % 2) + rng.choice([0, 5.5]), 10.0 * k, 200.0 + 280 * (k % 2) + rng.choice([0, 30.25, 90.0]), 10.0 * k + 8) for k in range(n)]
+        blocks, scores = [b for b in own if len(b.text) >= 2], []
+        for step in range(31 if len(blocks) >= 6 else 0):
+            at, half = 612.0 * (0.35 + step * 0.01), 612.0 * 0.012
+            left, right = [b for b in blocks if b.x1 <= at - half], [b for b in blocks if b.x0 >= at + half]
+            if min(len(left), len(right)) >= 2:
+                w, v = sum(len(b.text) for b in left), sum(len(b.text) for b in right)
+                share, a, b = (w + v) / sum(len(b.text) for b in blocks), median(x.x1 for x in left), median(x.x0 for x in right)
+                if min(w, v) >= 0.2 * max(w, v) and share >= 0.68 and b - a >= 12.24:
+                    scores.append((share + min((b - a) / 612.0, 0.12) - (len(blocks) - len(left) - len(right)) * 0.005, -step, (a + b) / 2))
+        found += bool(scores)
+        assert layout.two_columns(own, 612.0) == (max(scores)[2] if scores else None)
+    assert found > 50
