@@ -335,3 +335,20 @@ def test_gutters_equal_all_candidates():
         found += bool(scores)
         assert layout.two_columns(own, 612.0) == (max(scores)[2] if scores else None)
     assert found > 50
+
+
+def test_lanes_of_dense_pages_are_found_once_a_word():
+    """Not for each of the 55 places where three lanes may begin."""
+    looked = [0]
+
+    class Seen(layout.Word):
+        @property
+        def x(self) -> float:
+            looked[0] += 1
+            return super().x
+
+    words = [Seen("word", 45.0 + 177 * (k % 3), 60.0 + 14 * (k // 3), 200.0 + 177 * (k % 3), 70.0 + 14 * (k // 3)) for k in range(135)]
+    out = layout.order_three(words, [], (210.0, 388.0), 612.0, 792.0)
+    assert looked[0] <= 10 * len(words)
+    body = [b for b in out if 96 <= b.top < 740]
+    assert [b.x0 for b in body] == sorted(b.x0 for b in body) and len(out) == 135
