@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from statistics import median
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import CJK_RECOGNISED, rounded, strip
+from pageloom.functions.udf import grouped_rows
 
 PAGE = ["doc_id", "page_number"]
 LOW = 0.6
@@ -47,11 +48,16 @@ def horizontal_text(blocks: DataFrame) -> DataFrame:
 
 def vertical_pages(blocks: DataFrame) -> DataFrame:
     """doc_id, page_number, vertical: whether tall ideograph blocks carry the page."""
+    return _vertical_sums(blocks)
+
+
+def _vertical_sums(blocks: DataFrame, *more: Column) -> DataFrame:
+    """vertical_pages with more aggregates of each page's blocks."""
     w, h = F.greatest(F.col("right") - F.col("left"), F.lit(1.0)), F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0))
     n = F.regexp_count("text", F.lit(CJK_RECOGNISED))
     own = blocks.withColumn("n", n).withColumn("cjk", F.col("has_geometry") & (F.col("n") >= 2)).withColumn("tall", F.col("cjk") & (h >= F.greatest(w * 2.0, F.lit(24.0)))).withColumn("aspect", h / w)
-    sums = own.groupBy(*PAGE).agg(F.count_if("tall").alias("t"), F.coalesce(F.sum(F.when(F.col("cjk"), F.col("n"))), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("tall"), F.col("n"))), F.lit(0)).alias("v"), F.median(F.when(F.col("tall"), F.col("aspect"))).alias("m"))
-    return sums.select(*PAGE, F.coalesce((F.col("t") >= 4) & (F.col("v") >= 20) & (F.col("v") >= F.col("all") * 0.55) & (F.col("m") >= 3.0), F.lit(False)).alias("vertical"))
+    sums = own.groupBy(*PAGE).agg(F.count_if("tall").alias("t"), F.coalesce(F.sum(F.when(F.col("cjk"), F.col("n"))), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("tall"), F.col("n"))), F.lit(0)).alias("v"), F.median(F.when(F.col("tall"), F.col("aspect"))).alias("m"), *more)
+    return sums.select(*PAGE, F.coalesce((F.col("t") >= 4) & (F.col("v") >= 20) & (F.col("v") >= F.col("all") * 0.55) & (F.col("m") >= 3.0), F.lit(False)).alias("vertical"), *sums.columns[6:])
 
 
 def columns_from_right(blocks: list[dict]) -> tuple[list[dict], set[int], set[int]]:
@@ -64,16 +70,21 @@ def columns_from_right(blocks: list[dict]) -> tuple[list[dict], set[int], set[in
     tall = [wide(b) for b in blocks if b["has_geometry"] and max(b["bottom"] - b["top"], 1.0) >= wide(b) * 2]
     typical = median(tall) if tall else 32.0
     narrow, reach = max(24.0, typical * 1.8), max(8.0, min(24.0, typical * 0.35))
-    columns: list[dict] = []  # own: blocks, x: centre, open: takes more
+    columns: list[dict] = []  # own: blocks, xs: their centres, x: the mean
+    live: list[tuple[int, dict]] = []  # that take more; a centre further right than reach is out of it for all blocks to come
     for b in sorted(blocks, key=lambda b: (-x(b), b["top"])):
-        fits = b["has_geometry"] and wide(b) <= narrow
-        near = [(abs(x(b) - c["x"]), k) for k, c in enumerate(columns) if c["open"] and abs(x(b) - c["x"]) <= reach] if fits else []
+        at, thin = x(b), wide(b) <= narrow
+        live = [(k, c) for k, c in live if c["x"] - at <= reach]
+        near = [(abs(at - c["x"]), k) for k, c in live if abs(at - c["x"]) <= reach] if thin and b["has_geometry"] else []
         if near:
             c = columns[min(near)[1]]
             c["own"].append(b)
-            c["x"] = sum(map(x, c["own"])) / len(c["own"])
+            c["xs"].append(at)
+            c["x"] = sum(c["xs"]) / len(c["xs"])
         else:
-            columns.append({"own": [b], "x": x(b), "open": wide(b) <= narrow})
+            columns.append({"own": [b], "xs": [at], "x": at})
+            if thin:
+                live.append((len(columns) - 1, columns[-1]))
     columns.sort(key=lambda c: -c["x"])
     end = max((b["bottom"] for b in blocks if b["has_geometry"]), default=0.0)
     margins, numbers = set(), set()
@@ -91,22 +102,36 @@ READ = "doc_id long, page_number int, text string, line_count int, vertical bool
 
 
 def read_pages(blocks: DataFrame) -> DataFrame:
-    """The text of each recognised page in reading order; a page is a group, folded where it is vertical."""
-    import pandas as pd
-
-    def of(key, rows):
-        own = rows.sort_values("source_index").to_dict("records")
-        margins, numbers = set(), set()
-        if vertical := bool(own[0]["vertical"]):
-            own, margins, numbers = columns_from_right(own)
-        else:
-            own.sort(key=lambda b: (b["top"], b["left"], b["source_index"]))
-        shown = [b for b in own if b["source_index"] not in numbers]
-        return pd.DataFrame([{
-            "doc_id": key[0], "page_number": key[1], "text": "\n".join(b["text"] for b in shown), "line_count": len(shown), "vertical": vertical,
-            "marginal_line_indices": [k for k, b in enumerate(shown) if b["source_index"] in margins], "printed_page_numbers": [b["text"] for b in own if b["source_index"] in numbers]}])
-
-    return blocks.join(vertical_pages(blocks), PAGE).groupBy(*PAGE).applyInPandas(of, READ)
+    """The text of each recognised page in reading order; a page is a row of its blocks, folded where it is vertical."""
+    names = ["source_index", "text", "top", "left", "bottom", "right", "has_geometry"]
+    pages = _vertical_sums(blocks, F.array_sort(F.collect_list(F.struct(*names))).alias("blocks"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("doc_id", pa.int64()), ("page_number", pa.int32()), ("text", pa.string()), ("line_count", pa.int32()), ("vertical", pa.bool_()), ("marginal_line_indices", pa.list_(pa.int32())), ("printed_page_numbers", pa.list_(pa.string()))])
+        out = []
+        for doc_id, page_number, vertical, own in grouped_rows(batches):
+            lines, margins, printed = [], [], []
+            if vertical:
+                ordered, marginal, numbers = columns_from_right([dict(zip(names, b, strict=True)) for b in own])
+                for b in ordered:
+                    if b["source_index"] in numbers:
+                        printed.append(b["text"])
+                        continue
+                    if b["source_index"] in marginal:
+                        margins.append(len(lines))
+                    lines.append(b["text"])
+            else:
+                lines = [b[1] for b in sorted(own, key=lambda b: (b[2], b[3], b[0]))]
+            out.append({"doc_id": doc_id, "page_number": page_number, "text": "\n".join(lines), "line_count": len(lines), "vertical": vertical, "marginal_line_indices": margins, "printed_page_numbers": printed})
+            if len(out) == 1000:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out.clear()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return pages.withColumns({"doc_id": F.col("doc_id").cast("long"), "page_number": F.col("page_number").cast("int")}).mapInArrow(run, READ)
 
 
 def warnings(pages: DataFrame) -> DataFrame:

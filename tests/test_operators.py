@@ -352,3 +352,28 @@ def test_lanes_of_dense_pages_are_found_once_a_word():
     assert looked[0] <= 10 * len(words)
     body = [b for b in out if 96 <= b.top < 740]
     assert [b.x0 for b in body] == sorted(b.x0 for b in body) and len(out) == 135
+
+
+def test_recognised_pages_are_one_row_each(spark):
+    from comparing import DATA
+    from pageloom.plans import catalogue
+
+    plan = catalogue.ocr_vertical_order(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "FlatMapGroups" not in plan and "Join" not in plan
+
+
+def test_columns_are_sought_among_near_ones():
+    """A column that a block is too far left of is not looked at again."""
+    looked = [0]
+
+    class Block(dict):
+        def __getitem__(self, k):
+            looked[0] += 1
+            return super().__getitem__(k)
+
+    for n in (200, 400):
+        looked.append(looked[0])
+        blocks = [Block(source_index=k, left=40.0 * k, right=40.0 * k + 20, top=100.0 + k % 2, bottom=220.0, text="天地玄黄", has_geometry=True) for k in range(n)]
+        order, _, _ = ocr.columns_from_right(blocks)
+        assert [b["source_index"] for b in order] == list(range(n))[::-1]
+    assert looked[0] - looked[2] <= 2.2 * (looked[2] - looked[1])
