@@ -377,3 +377,14 @@ def test_columns_are_sought_among_near_ones():
         order, _, _ = ocr.columns_from_right(blocks)
         assert [b["source_index"] for b in order] == list(range(n))[::-1]
     assert looked[0] - looked[2] <= 2.2 * (looked[2] - looked[1])
+
+
+def test_lines_are_numbered_without_a_join(spark):
+    """Python sees two numbers of a word; the words' other columns stay in their rows."""
+    rows = [(1, p, k, f"w{k}", 60.0 + k % 2, 100.0, 60.0 + 14 * (k // 2), 70.0 + 14 * (k // 2), [k]) for p in (1, 2) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, word_idx int, text string, x0 double, x1 double, top double, bottom double, more array<int>")
+    out = layout.cluster_lines(df)
+    assert out.columns == [*df.columns, "line_no"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert sorted(tuple(r) for r in out.collect()) == sorted((*r, r[2] // 2) for r in rows)
