@@ -388,3 +388,22 @@ def test_lines_are_numbered_without_a_join(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
     assert sorted(tuple(r) for r in out.collect()) == sorted((*r, r[2] // 2) for r in rows)
+
+
+def test_gutters_are_sought_in_a_page_s_own_row(spark):
+    """The 31 candidates make no rows; missing, infinite and crossed edges count as they did."""
+    import random
+
+    rng, rows, want = random.Random(8), [], {}
+    for page in range(60):
+        n = rng.randint(4, 30)
+        own = [layout.Block("x" * rng.randint(1, 9), 40.0 + 280 * (k % 2) + rng.choice([0, 5.5]), 10.0 * k, 200.0 + 280 * (k % 2) + rng.choice([0, 30.25, 90.0]), 10.0 * k + 8) for k in range(n)]
+        want[page] = layout.two_columns(own, 612.0)
+        rows += [(1, page, *b[:2], b.x1) for b in own]
+    gutter = [(1, 100, "word", 40.0 + 280 * (k % 2), 200.0 + 280 * (k % 2)) for k in range(40)]
+    rows += [*gutter, (1, 100, "word", None, 100.0), (1, 100, "word", 400.0, None), (1, 100, "word", 400.0, 100.0), (1, 100, "word", 400.0, float("inf"))]
+    out = layout.column_splits(spark.createDataFrame(rows, "doc_id long, page_number int, text string, x0 double, x1 double"), 612.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    assert {r.page_number: r.split for r in out.collect()} == {k: v for k, v in want.items() if v is not None} | {100: 260.0}
+    assert sum(v is not None for v in want.values()) > 10
