@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The least partitions of keys from which much wider rows are made: Spark sizes its own by the keys alone.
+PARTS = 400
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by the keys over at least PARTS partitions, or as many as the session's shuffles have."""
+    return df.repartition(max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
 
 def arrow_function(kind: str):
     """Like pandas_udf, but made when it is first applied to columns."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
+from pageloom.functions.udf import spread
 from pageloom.operators import admission, ast, cleanup, layout, ocr, pages, report, scoring, structure
 from pageloom.plans import adapters as A
 from pageloom.plans import evaluate, recover
@@ -96,7 +97,8 @@ def header_footer_removed(spark: SparkSession, d: str) -> DataFrame:
 def _prefix_pages(spark: SparkSession, d: str) -> DataFrame:
     lines = lambda a, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("line number "), i + a, F.lit(" of order with words"))), "\n")
     k = F.col("o_orderkey")
-    base = A.table(spark, d, "orders").select(k.alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_number"), F.lit("native").alias("source"), (k % 7 + 8).cast("int").alias("n"))
+    # documents are dealt before their texts are made: their pages meet without an exchange of texts, in partitions of a bounded part of them
+    base = spread(A.table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select(k.alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_number"), F.lit("native").alias("source"), (k % 7 + 8).cast("int").alias("n"))
     shared = lines(F.lit(0), F.col("n"))
     return base.select("doc_id", "page_number", "source", F.concat(shared, F.lit("\n"), lines(F.col("page_number") * 100, F.lit(4))).alias("text"))
 

@@ -407,3 +407,16 @@ def test_gutters_are_sought_in_a_page_s_own_row(spark):
     assert "Generate" not in plan and plan.count("Exchange") == 1
     assert {r.page_number: r.split for r in out.collect()} == {k: v for k, v in want.items() if v is not None} | {100: 260.0}
     assert sum(v is not None for v in want.values()) > 10
+
+
+def test_documents_are_dealt_before_their_texts_are_made(spark):
+    """The one exchange holds keys, over partitions enough for what is made of them."""
+    from comparing import DATA
+    from pageloom.functions.udf import PARTS
+    from pageloom.plans import catalogue
+
+    for query in (catalogue.adjacent_prefix_length, catalogue.adjacent_prefix_removed):
+        out = query(spark, DATA)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(o_orderkey" in plan
+        assert out.rdd.getNumPartitions() == PARTS
