@@ -140,7 +140,8 @@ def kind_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page_number, count(*) AS images, round(least(1.0, sum(greatest(0, least(612, l_quantity * 20) - least(612, 30)) * greatest(0, least(792, l_quantity * 25) - 40)) / (612.0 * 792.0)), 6) AS coverage
 FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 def image_coverage(spark: SparkSession, d: str) -> DataFrame:
-    li = A.table(spark, d, "lineitem")
+    # dealt by page once: what groups and joins pages needs no further exchange, in partitions of a bounded part of them
+    li = spread(A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber")
     images = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_number"), F.lit(30.0).alias("x0"), F.lit(40.0).alias("top"), (F.col("l_quantity") * 20).alias("x1"), (F.col("l_quantity") * 25).alias("bottom"))
     own = images.select("doc_id", "page_number").distinct().withColumn("width", F.lit(A.WIDTH)).withColumn("height", F.lit(A.HEIGHT))
     none = images.select("doc_id", "page_number", F.lit("").alias("text")).limit(0)

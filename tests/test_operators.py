@@ -420,3 +420,14 @@ def test_documents_are_dealt_before_their_texts_are_made(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(o_orderkey" in plan
         assert out.rdd.getNumPartitions() == PARTS
+
+
+def test_page_metrics_meet_where_line_items_were_dealt(spark):
+    from comparing import DATA
+    from pageloom.functions.udf import PARTS
+    from pageloom.plans import catalogue
+
+    out = catalogue.image_coverage(spark, DATA)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == plan.count("Exchange hashpartitioning(") <= 3
+    assert out.rdd.getNumPartitions() == PARTS
